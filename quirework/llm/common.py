@@ -61,3 +61,22 @@ def words_of(text: Column, pattern: str = f"[^{SPACE}]+") -> Column:
 def upto(n: Column) -> Column:
     """0, 1, ..., n - 1 as an array; empty where n is below 1."""
     return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+
+def small_side(table: DataFrame, most_rows: int = 100_000) -> DataFrame:
+    """A written table, marked for broadcast if its counted rows are at most most_rows; beyond that Spark shuffles and splits skewed keys."""
+    return F.broadcast(table) if table.limit(most_rows + 1).count() <= most_rows else table
+
+
+def grams_of(hashes: Column, k: int) -> Column:
+    """Hashes of k consecutive entries of an array of word hashes."""
+    return F.transform(upto(F.size(hashes) - (k - 1)), lambda i: F.xxhash64(*[F.get(hashes, i + j) for j in range(k)]))
+
+
+def evaluated(df: DataFrame) -> DataFrame:
+    """df, with its columns evaluated once at this point: later filters are not pushed into their expressions, nor these into later ones.
+
+    A row goes through explode_outer of one struct. Plain explode would not do: for it Catalyst adds a filter on the
+    array's size, moves that down and so evaluates the array twice, inside lambdas even once for each element.
+    """
+    return df.select(F.explode_outer(F.array(F.struct("*"))).alias("_row")).select("_row.*")

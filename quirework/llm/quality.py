@@ -15,7 +15,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, let, upto, words_of
+from .common import SPACE, evaluated, let, upto, words_of
 
 SYMBOLS = r"[#*$%&|<>]"
 #: Phrases of footers, consent banners and menus, in four languages.
@@ -82,7 +82,7 @@ def measured(docs: DataFrame, text_col: str = "text", rules: LineRules = LineRul
         return let(good, lambda g: F.struct(dup.cast("long").alias("n_dup_lines"), F.coalesce(1 - chars(g) / F.nullif(chars(x), F.lit(0)), F.lit(0.0)).alias("lost"), F.array_join(g, "\n").alias("cleaned")))
 
     found = docs.select("*", let(words, by_words).alias("_w"), let(lines, by_lines).alias("_l"), F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"))
-    flat = found.select(*docs.columns, "_w.n_words", "_w.word_chars", "n_symbols", "_l.n_dup_lines", "_w.n_repeat_words", "_l.lost", "_l.cleaned")
+    flat = evaluated(found).select(*docs.columns, "_w.n_words", "_w.word_chars", "n_symbols", "_l.n_dup_lines", "_w.n_repeat_words", "_l.lost", "_l.cleaned")
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return flat.withColumn("base_failed", base).withColumn("kept", ~base & (F.col("lost") <= rules.most_lost))
 
