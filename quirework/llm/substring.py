@@ -2,25 +2,29 @@
 
 Seeds: of every ``window - k + 1`` consecutive word k-grams the one with the least hash is an anchor. Two equal windows
 have their anchor at the same place, so a window can only repeat if its anchor does, and anchors that the corpus has
-once are done with. Extension: around each occurrence of a repeated anchor, all windows that have it as their anchor
-are extended to both sides to full length and told apart by a 128-bit hash of their words; occurrences that extend
-alike meet under one key, whose earliest occurrence stays. So a passage in a third of all documents costs a row for
-each occurrence, never a row for each pair. Overlapping windows that are to go join to maximal spans.
+once are done with. Occurrences of an anchor are joined by what they extend to:
 
-Shuffled are the anchors (two or so for 17 words), the windows of repeated anchors, and the texts, compressed, twice:
-to the places of their repeated anchors, and to the places of their repeated windows. Sums are made before shuffles;
-joins on hot anchors or windows are between written tables, which Spark splits.
+* to both sides as far as any window with this anchor reaches (a zone). Occurrences with equal zones repeat whole: all
+  but the first go.
+* where an anchor has several zones, the first occurrence of each zone is extended to every single window, and windows
+  that are equal meet under one key; again all but the first go. That finds the ends of passages.
+
+So a passage in a third of all documents costs a row for each occurrence, never a row for each pair. What is to go is
+merged to maximal spans. Keys are 128 bits of hash. Sums are made before shuffles, and joins on anchors, zones or
+windows are between written tables, whose hot keys Spark splits. Texts are shuffled, compressed, only beyond a checked
+number of documents with spans.
 
 Defined results: a null or empty text has no words and keeps the empty text. A window is judged on the input, not on
-what is left. Occurrences are ordered by (doc_id, place); rows with equal doc_id are told apart by their text's hash,
-equal rows by a running number, so repeated rows are copies of the first. A null doc_id comes first. Texts shorter than
-a window lose nothing. An empty table gives no rows. Further columns are not looked at.
+what is left. Occurrences are ordered by (doc_id, place), a null doc_id first. Rows that share a doc_id are one
+document given several times: they are no copies of each other, and places found in one of them count for all. Texts
+shorter than a window lose nothing. An empty table gives no rows. Further columns are not looked at.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialised
+from .common import materialised, small_side
 
 WINDOW, K = 20, 6
 #: Rows of a batch that are worked on together, and bytes after which results are handed on.
@@ -77,31 +81,48 @@ def anchor_of_windows(h: np.ndarray, window: int, k: int) -> np.ndarray:
     return np.arange(len(views)) + span - 1 - views.argmin(1)
 
 
-def _struct(fields: list[tuple[str, pa.DataType]], columns: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for (_, t), c in zip(fields, columns, strict=True)], names=[n for n, _ in fields])
+@lru_cache(1)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """ODD to the powers 0 to n - 1, and those of its inverse, modulo 2 to the 64."""
+    inverse = np.uint64(pow(int(ODD), -1, 1 << 64))
+    up, down = np.full(n, ODD), np.full(n, inverse)
+    up[0] = down[0] = 1
+    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+
+
+def zones(h: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each anchor: the first window that has it, how many have it, its hash, and the hash of all words of those windows."""
+    place = anchor_of_windows(h, window, k)
+    at, a, n = np.unique(place, return_index=True, return_counts=True)
+    up, down = powers(1 << max(12, int(len(h)).bit_length()))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * up[: len(h)])))
+    z = mixed((sums[a + n + window - 1] - sums[a]) * down[a] + n.astype(np.uint64) * ODD)
+    return a, n, gram_hashes(h, k)[at], z
+
+
+def pack(a: np.ndarray, n: np.ndarray | int) -> np.ndarray:
+    """A zone's first window and number of windows (below 256) in one long, in the order of the former."""
+    return (a.astype(np.int64) << 8) | n
 
 
 def find_anchors(docs: DataFrame, window: int, k: int) -> DataFrame:
-    """row, g (anchor), at (its place in words): docs has row and text."""
+    """row, an (first window and number of windows of the zone), g (anchor), z (zone): docs has row and text."""
     kind = docs.schema["row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS):
-                part = batch.slice(start, ROWS)
-                rows, grams, places = [], [], []
+                part, found = batch.slice(start, ROWS), []
                 for i, text in enumerate(part.column(1)):
                     h = word_hashes((text.as_py() or b"").split())
-                    at = np.unique(anchor_of_windows(h, window, k))
-                    if len(at):
-                        rows.append(np.full(len(at), i))
-                        grams.append(gram_hashes(h, k)[at])
-                        places.append(at)
-                if rows:
-                    ids = part.column(0).take(pa.array(np.concatenate(rows)))
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.concatenate(places).astype(np.int32))], names=["row", "g", "at"])
+                    if len(h) >= window:
+                        a, n, g, z = zones(h, window, k)
+                        found.append((np.full(len(a), i), pack(a, n), g.view(np.int64), z.view(np.int64)))
+                if found:
+                    i, an, g, z = (np.concatenate(c) for c in zip(*found, strict=True))
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(i)), pa.array(an), pa.array(g), pa.array(z)], names=["row", "an", "g", "z"])
 
-    return docs.select("row", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"row {kind}, g long, at int")
+    return docs.select("row", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"row {kind}, an long, g long, z long")
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -119,66 +140,101 @@ def packed(docs: DataFrame) -> DataFrame:
 
 
 def extended(joined: DataFrame, window: int, k: int) -> DataFrame:
-    """row, at, w1, w2 (hash of the window that starts at word at) for each window whose anchor is among places. joined: row, z, places."""
+    """row, an (a single window), g (its anchor), w (its hash) for each window of the zones. joined: row, z, zones."""
     kind = joined.schema["row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d = zstandard.ZstdDecompressor()
         for batch in batches:
             ids, out, held = batch.column(0), [], 0
-            for i, (z, places) in enumerate(zip(batch.column(1), batch.column(2), strict=True)):
+            for i, (z, an) in enumerate(zip(batch.column(1), batch.column(2), strict=True)):
                 h = word_hashes(d.decompress(z.as_py()).split())
-                wanted = np.zeros(len(h) + 1, bool)
-                wanted[places.values.to_numpy()] = True
-                at = np.flatnonzero(wanted[anchor_of_windows(h, window, k)])
-                out.append((np.full(len(at), i), at.astype(np.int32), gram_hashes(h, window)[at].view(np.int64), gram_hashes(h, window, 1)[at].view(np.int64)))
-                held += 28 * len(at)
+                place = anchor_of_windows(h, window, k)
+                edge = np.zeros(len(place) + 1, np.int64)
+                first, n = an.values.to_numpy() >> 8, an.values.to_numpy() & 255
+                inside = first + n <= len(place)
+                np.add.at(edge, first[inside], 1)
+                np.add.at(edge, (first + n)[inside], -1)
+                at = np.flatnonzero(np.cumsum(edge)[:-1] > 0)
+                out.append((np.full(len(at), i), pack(at, 1), gram_hashes(h, k)[place[at]].view(np.int64), gram_hashes(h, window, 1)[at].view(np.int64)))
+                held += 32 * len(at)
                 if held > BATCH_BYTES or i == batch.num_rows - 1:
-                    n, at, w1, w2 = (np.concatenate(c) for c in zip(*out, strict=True))
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(n)), pa.array(at), pa.array(w1), pa.array(w2)], names=["row", "at", "w1", "w2"])
+                    n, an, g, w = (np.concatenate(c) for c in zip(*out, strict=True))
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(n)), pa.array(an), pa.array(g), pa.array(w)], names=["row", "an", "g", "w"])
                     out, held = [], 0
 
-    return joined.select("row", "z", "places").mapInArrow(run, f"row {kind}, at int, w1 long, w2 long")
+    return joined.select("row", "z", "zones").mapInArrow(run, f"row {kind}, an long, g long, w long")
+
 
+def merged(ranges: DataFrame, window: int) -> DataFrame:
+    """row, spans (array of struct start, end): the maximal spans that a row's zones cover. ranges: row, zones."""
+    kind = ranges.schema["row"].dataType.simpleString()
+    spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
-def without(joined: DataFrame, window: int, digest: bool) -> DataFrame:
-    """row, n_words, n_removed, spans (array of struct start, end of the maximal spans removed), and kept_sha256 or kept, the words left joined by one space. joined: row, z, starts (null: none)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for zones in batch.column(1):
+                an = np.sort(zones.values.to_numpy())
+                start, end = an >> 8, np.maximum.accumulate((an >> 8) + (an & 255) + window - 1)
+                new = np.concatenate(([True], start[1:] > end[:-1]))
+                last = np.concatenate((np.flatnonzero(new)[1:] - 1, [len(an) - 1]))
+                out.append([{"start": a, "end": b} for a, b in zip(start[new].tolist(), end[last].tolist(), strict=True)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, spans)], names=["row", "spans"])
+
+    return ranges.select("row", "zones").mapInArrow(run, f"row {kind}, spans array<struct<start:int,end:int>>")
+
+
+def without(joined: DataFrame, digest: bool) -> DataFrame:
+    """row, n_words, n_removed, spans, and kept_sha256 or kept, the words outside the spans joined by one space. joined: row, z, spans (null: none)."""
     kind = joined.schema["row"].dataType.simpleString()
     last = "kept_sha256" if digest else "kept"
+    spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d = zstandard.ZstdDecompressor()
-        fields = [("row", None), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), (last, pa.string())]
         for batch in batches:
             for first in range(0, batch.num_rows, ROWS):
                 part = batch.slice(first, ROWS)
-                cols: list[list] = [[], [], [], []]
-                for z, starts in zip(part.column(1), part.column(2), strict=True):
+                n, gone, kept_spans, texts = [], [], [], []
+                for z, spans in zip(part.column(1), part.column(2), strict=True):
                     words = d.decompress(z.as_py()).split()
-                    edge = np.zeros(len(words) + 1, np.int64)
-                    if starts.is_valid:
-                        at = starts.values.to_numpy()
-                        np.add.at(edge, at, 1)
-                        np.add.at(edge, at + window, -1)
-                    gone = np.cumsum(edge)[:-1] > 0
-                    turn = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(np.int8)))
-                    kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g] if len(turn) else words)
-                    for c, v in zip(cols, (len(words), int(gone.sum()), [{"start": a, "end": b} for a, b in turn.reshape(-1, 2).tolist()], hashlib.sha256(kept).hexdigest() if digest else kept.decode("utf-8", "replace")), strict=True):
-                        c.append(v)
-                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, t) for c, (_, t) in zip(cols, fields[1:], strict=True)]], names=[n for n, _ in fields])
-
-    return joined.select("row", "z", "starts").mapInArrow(run, f"row {kind}, n_words long, n_removed long, spans array<struct<start:int,end:int>>, {last} string")
+                    own = [s for s in spans.as_py() or [] if s["end"] <= len(words)]
+                    kept, at = [], 0
+                    for s in own:
+                        kept += words[at : s["start"]]
+                        at = s["end"]
+                    text = b" ".join(kept + words[at:])
+                    n.append(len(words))
+                    gone.append(sum(s["end"] - s["start"] for s in own))
+                    kept_spans.append(own)
+                    texts.append(hashlib.sha256(text).hexdigest() if digest else text.decode("utf-8", "replace"))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept_spans, spans_type), pa.array(texts, pa.string())], names=["row", "n_words", "n_removed", "spans", last])
+
+    return joined.select("row", "z", "spans").mapInArrow(run, f"row {kind}, n_words long, n_removed long, spans array<struct<start:int,end:int>>, {last} string")
+
+
+def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
+    """row, spans: what is to go from each document that repeats anything. docs: row, text."""
+    anchors = find_anchors(docs, window, k)
+    counts = anchors.groupBy("g").agg(F.count("*").alias("n"), (F.min("z") < F.max("z")).alias("contested"))
+    repeated = materialised(counts.filter("n > 1").drop("n"), "anchors")
+    seeds = materialised(anchors.join(repeated, "g"), "seeds")
+    firsts = materialised(seeds.groupBy("g", "z").agg(F.min(F.struct("row", "an")).alias("first"), F.count("*").alias("n"), F.max("contested").alias("contested")), "zones")
+    own = F.struct("row", "an")
+    gone = seeds.join(firsts.filter("n > 1").select("g", "z", "first"), ["g", "z"]).filter(own > F.col("first")).select("row", "an")
+
+    tried = materialised(firsts.filter("contested").select("first.*").groupBy("row").agg(F.collect_list("an").alias("zones")), "tried")
+    windows = materialised(extended(packed(docs).join(small_side(tried), "row"), window, k), "windows")
+    heads = materialised(windows.groupBy("g", "w").agg(F.min(own).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "heads")
+    ends = windows.join(heads, ["g", "w"]).filter(own > F.col("first")).select("row", "an")
+    return merged(gone.union(ends).groupBy("row").agg(F.collect_list("an").alias("zones")), window)
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, k: int = K, digest: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, spans, and kept (or with digest kept_sha256): a row for each row of docs (doc_id, text)."""
+    # The id is wrapped, so that a null one is a key like any other.
     own = docs.select(F.struct(F.col("doc_id").alias("id")).alias("row"), "text")
-    anchors = find_anchors(own, window, k)
-    repeated = materialised(anchors.groupBy("g").count().filter("count > 1").select("g"), "anchors")
-    places = anchors.join(repeated, "g", "left_semi").groupBy("row").agg(F.collect_list("at").alias("places"))
-    windows = extended(packed(own).join(places, "row"), window, k)
-    windows = materialised(windows, "windows")
-    first = materialised(windows.groupBy("w1", "w2").agg(F.min(F.struct("row", "at")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "first")
-    later = windows.join(first, ["w1", "w2"]).filter(F.struct("row", "at") > F.col("first")).groupBy("row").agg(F.collect_list("at").alias("starts"))
-    out = without(packed(own).join(later, "row", "left"), window, digest)
+    spans = materialised(repeated_spans(own, window, k), "spans")
+    out = without(packed(own).join(small_side(spans), "row", "left"), digest)
     return out.select(F.col("row.id").alias("doc_id"), *[c for c in out.columns if c != "row"])
