@@ -89,5 +89,6 @@ def measured(docs: DataFrame, text_col: str = "text", rules: LineRules = LineRul
 
 def clean_documents(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     """The columns of docs, without the documents that the rules reject and, in those that stay, without the lines that failed."""
-    own = measured(docs.select(F.struct("*").alias("_row"), F.col("text")), "text", rules).filter("kept")
-    return own.select(*[F.col("cleaned").alias(c) if c == "text" else F.length("cleaned").cast("long").alias(c) if c == "n_chars" else F.col("_row")[c].alias(c) for c in docs.columns])
+    own = measured(docs.select(F.struct("*").alias("_doc"), F.col("text").alias("_text")), "_text", rules)
+    kept = evaluated(own.select("_doc", "cleaned", "kept")).filter("kept")
+    return kept.select(*[F.col("cleaned").alias(c) if c == "text" else F.length("cleaned").cast("long").alias(c) if c == "n_chars" else F.col("_doc")[c].alias(c) for c in docs.columns])

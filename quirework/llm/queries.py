@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, minhash, quality, substring, url_filter, warc
+from . import bpe, chat, decontaminate, line_dedup, minhash, quality, substring, url_filter, warc
 from .common import materialised, scratch_path
 from .sql import ORACLE_SQL  # noqa: F401
 
@@ -27,6 +27,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_report(table(spark, sf_dir, "documents"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.convert_arcs(warc.pages_to_arcs(table(spark, sf_dir, "pages")))
     named = records.withColumn("page_id", F.regexp_extract(F.decode("head", "UTF-8"), r"X-Page-Id: (-?\d+)", 1).try_cast("long"))
@@ -64,4 +68,4 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(chat.format_chats(rows)).drop("error_turn")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op3_warc, op4_minhash, op5_quality_rules, op7_bpe, op8_decontaminate, op9_substring_dedup, op10_chat_format)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_line_dedup, op3_warc, op4_minhash, op5_quality_rules, op7_bpe, op8_decontaminate, op9_substring_dedup, op10_chat_format)}
