@@ -63,9 +63,11 @@ def upto(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
 
-def small_side(table: DataFrame, most_rows: int = 100_000) -> DataFrame:
-    """A written table, marked for broadcast if its counted rows are at most most_rows; beyond that Spark shuffles and splits skewed keys."""
-    return F.broadcast(table) if table.limit(most_rows + 1).count() <= most_rows else table
+def small_side(table: DataFrame, most_rows: int = 100_000, most_bytes: int = 16 << 20) -> DataFrame:
+    """A written table, marked for broadcast if it has at most so many rows in files of at most so many bytes; beyond that Spark shuffles and splits skewed keys."""
+    size = table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    small = int(size.toString()) <= most_bytes and table.limit(most_rows + 1).count() <= most_rows
+    return F.broadcast(table) if small else table
 
 
 def grams_of(hashes: Column, k: int) -> Column:
