@@ -66,7 +66,7 @@ def upto(n: Column) -> Column:
 def small_side(table: DataFrame, most_rows: int = 100_000, most_bytes: int = 16 << 20) -> DataFrame:
     """A written table, marked for broadcast if it has at most so many rows in files of at most so many bytes; beyond that Spark shuffles and splits skewed keys."""
     size = table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    small = int(size.toString()) <= most_bytes and table.limit(most_rows + 1).count() <= most_rows
+    small = int(str(size)) <= most_bytes and table.limit(most_rows + 1).count() <= most_rows
     return F.broadcast(table) if small else table
 
 
