@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, chat, decontaminate, extract, line_dedup, minhash, quality, substring, url_filter, warc
 from .common import materialised, scratch_path
-from .sql import ORACLE_SQL  # noqa: F401
+from .sql import ORACLE_SQL, op1
 
 #: Where the public vocabulary files lie; a parameter, never copied.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -19,6 +19,9 @@ VOCABULARY = f"{TOKENIZERS}/byte_bpe_50k.json"
 RULES = [url_filter.Rule("allow", "com", "/"), url_filter.Rule("block", "example.com", "/en/"), url_filter.Rule("allow", "www.example.com", "/en/"), url_filter.Rule("block", "net", "/es/"), url_filter.Rule("block", "net", "/fr/")]
 
 
+ORACLE_SQL["op1_url_filter"] = op1(RULES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -28,7 +31,7 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_report(table(spark, sf_dir, "documents"))
+    return line_dedup.dedup_report(table(spark, sf_dir, "documents")).withColumn("removed", F.array_join(F.col("removed").cast("array<string>"), ","))
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
