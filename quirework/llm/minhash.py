@@ -5,10 +5,14 @@ signature: the first scatters the shingles, and coordinate number i is the least
 circularly by i. Bands of coordinates name buckets; a pair that meets in a bucket is confirmed on the full sets, by
 exact integer arithmetic; links join to components.
 
-Groups of any size stay linear where their links are dense. Documents with equal sets are one node from the start. In
-each bucket only pairs with one chosen member are tried, over a few rounds with other choices, and only between nodes
-that aren't yet connected. Then the pairs of a bucket that are still in different components are all tried, behind a
-comparison of signatures that a linked pair fails less than once in a million times; so no link is lost to the choice.
+Buckets of any size don't become pairs. Documents with equal sets are one node from the start. Shingles that no other
+candidate has can't be in an intersection: with their number, a bound on each pair's similarity rules most pairs out,
+exactly. In each bucket the rest is first tried with one chosen member, over a few rounds with other choices, and only
+between nodes that aren't yet connected; where copies share an original, that joins them. What is then still in
+different components, but connected by buckets, is compared whole: its nodes are dealt into blocks, every two blocks
+are one group, and a group counts all its intersections by matrix products and returns only the links that join
+components. So no link is lost to a choice, no pair is written that isn't tried, and no group grows with the data.
+
 A pair of similarity 0.8 misses all 32 bands of 4 with a probability of 5e-8.
 
 Defined results: a text without words (null, empty) is linked with nothing. With fewer words than a shingle the whole
@@ -29,14 +33,16 @@ from pyspark.sql import functions as F
 
 from .common import materialised, small_side
 from .graph import components
-from .substring import BATCH_BYTES, ROWS, gram_hashes, mixed, word_hashes
+from .substring import ROWS, gram_hashes, word_hashes
 
 BANDS, PER_BAND = 32, 4
 COORDINATES = BANDS * PER_BAND
 #: Shingles worked on at a time.
 BLOCK = 1024
 #: Rounds of trying pairs with one member of a bucket.
-ROUNDS = 3
+ROUNDS = 2
+#: Nodes of a block, and shingles of a matrix product.
+BLOCK_NODES, COLUMNS = 512, 4096
 
 
 def scattered(x: np.ndarray, a: int, b: int) -> np.ndarray:
@@ -74,28 +80,26 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n (shingles), node (hash of the set; null if empty), bands (array of long), sig (a byte of each coordinate)."""
+    """doc_id, n (shingles), node (hash of the set; null if empty), bands (array of long)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS):
                 part = batch.slice(start, ROWS)
-                n, node, bands, sigs = [], [], [], []
+                n, node, bands = [], [], []
                 for text in part.column(1):
                     s = shingles(text.as_py() or b"", k)
                     n.append(len(s))
                     if len(s):
-                        sig = signature(s)
                         node.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63))
-                        bands.append(band_keys(sig))
-                        sigs.append(sig.astype(np.uint8).tobytes())
+                        bands.append(band_keys(signature(s)))
                     else:
-                        for c in (node, bands, sigs):
-                            c.append(None)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], names=["doc_id", "n", "node", "bands", "sig"])
+                        node.append(None)
+                        bands.append(None)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n", "node", "bands"])
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, n long, node long, bands array<long>, sig binary")
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, n long, node long, bands array<long>")
 
 
 def packed_sets(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
@@ -117,7 +121,7 @@ def packed_sets(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(z, pa.binary())], names=["node", "z"])
 
     source = docs.select(F.struct("doc_id").alias("row"), F.col("text").cast("binary").alias("text"))
-    want = small_side(wanted).select(F.struct("doc_id").alias("row"), "node")
+    want = small_side(wanted.select(F.struct("doc_id").alias("row"), "node"))
     found = source.join(want, "row").select("node", "text").mapInArrow(run, "node long, z binary")
     return found.groupBy("node").agg(F.first("z").alias("z"))
 
@@ -145,51 +149,114 @@ def confirmed(pairs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFr
 
 
 
-def alike(x, y):
-    """How many bytes of two short signatures agree, in SQL's terms: of 128 hex pairs."""
-    hx, hy = F.hex(x), F.hex(y)
-    return F.aggregate(F.sequence(F.lit(1), F.lit(2 * COORDINATES - 1), F.lit(2)), F.lit(0), lambda acc, i: acc + (F.substring(hx, i, F.lit(2)) == F.substring(hy, i, F.lit(2))).cast("int"))
+def shared_counts(sets: DataFrame, k: int) -> DataFrame:
+    """node, n (its shingles), c (those that another node has too). sets: node, z."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        d = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                found = [shingles(d.decompress(z.as_py()), k) for z in part.column(1)]
+                nodes = part.column(0).take(pa.array(np.repeat(np.arange(len(found)), [len(s) for s in found])))
+                yield pa.RecordBatch.from_arrays([nodes, pa.array(np.concatenate(found).view(np.int64))], names=["node", "g"])
+
+    rows = sets.select("node", "z").mapInArrow(run, "node long, g long")
+    seen = rows.groupBy("g").agg(F.min("node").alias("node"), F.count("*").alias("holders"))
+    alone = seen.filter("holders = 1").groupBy("node").agg(F.count("*").alias("alone"))
+    return sets.select("node", "n").join(alone, "node", "left").select("node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("c"))
+
+
+def links_of_block(found: list[np.ndarray], first: np.ndarray, second: np.ndarray, labels: list[int], percent: int) -> list[tuple[int, int]]:
+    """Index pairs, one from first and one from second, that are linked and join different labels; none that earlier ones make needless."""
+    sizes = np.array([len(s) for s in found], np.int64)
+    g, column = np.unique(np.concatenate(found), return_inverse=True)
+    owner = np.repeat(np.arange(len(found)), sizes)
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    both = np.zeros((len(first), len(second)), np.float32)
+    place = {s: np.full(len(found), -1) for s in "ab"}
+    place["a"][first], place["b"][second] = np.arange(len(first)), np.arange(len(second))
+    for start in range(0, len(g), COLUMNS):
+        lo, hi = np.searchsorted(column, (start, start + COLUMNS))
+        dense = []
+        for s, members in (("a", first), ("b", second)):
+            m = np.zeros((len(members), COLUMNS), np.float32)
+            at = place[s][owner[lo:hi]]
+            m[at[at >= 0], column[lo:hi][at >= 0] - start] = 1
+            dense.append(m)
+        both += dense[0] @ dense[1].T
+    linked = 100 * both >= percent * (sizes[first][:, None] + sizes[second][None, :] - both)
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(linked), strict=True):
+        a, b = find(labels[first[i]]), find(labels[second[j]])
+        if a != b:
+            root[a] = b
+            out.append((int(first[i]), int(second[j])))
+    return out
+
+
+def links_by_blocks(rest: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
+    """a, b: links between nodes of one cluster with different labels, enough of them to join all labels that are linked. rest: node, label, cluster."""
+    sizes = rest.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK_NODES).cast("int").alias("blocks"))
+    dealt = rest.join(sizes, "cluster").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    # A node goes to one group with each block of its cluster.
+    met = dealt.select("cluster", "node", "label", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).join(sets.select("node", "z"), "node")
+    grouped = met.select("cluster", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "label", "z").groupBy("cluster", "x", "y")
+
+    def run(table: pa.Table) -> pa.Table:
+        d = zstandard.ZstdDecompressor()
+        own, node, label = (table.column(c).to_pylist() for c in ("own", "node", "label"))
+        found = [shingles(d.decompress(z.as_py()), k) for z in table.column("z")]
+        x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
+        sides = [np.array([i for i, o in enumerate(own) if o == s], np.int64) for s in (x, y)]
+        pairs = links_of_block(found, *sides, label, percent) if all(map(len, sides)) else []
+        return pa.table({"a": pa.array([node[i] for i, _ in pairs], pa.int64()), "b": pa.array([node[j] for _, j in pairs], pa.int64())})
+
+    return grouped.applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id that links reach), kept: a row for each row of docs (doc_id, text)."""
     seen = materialised(signed(docs, k), "signatures")
-    nodes = materialised(seen.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "nodes")
-    dealt = nodes.select("node", "n", F.explode("bands").alias("key"))
+    nodes = materialised(seen.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes")
+    dealt = nodes.select("node", F.explode("bands").alias("key"))
     shared = materialised(dealt.groupBy("key").count().filter("count > 1").select("key"), "buckets")
-    members = materialised(dealt.join(shared, "key"), "members")
-    involved = materialised(nodes.join(members.select("node").distinct(), "node", "left_semi").select("doc_id", "node"), "involved")
-    sets = materialised(packed_sets(docs, k, involved), "sets")
-
-    fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    labels = involved.select("node", F.col("node").alias("label"))
-    tried = None
+    met = materialised(dealt.join(shared, "key"), "met")
+    involved = materialised(nodes.join(met.select("node").distinct(), "node", "left_semi").select("doc_id", "node", "n"), "involved")
+    sets = materialised(packed_sets(docs, k, involved).join(involved.select("node", "n"), "node"), "sets")
+    # A node of which too little is shared with any other is linked with none.
+    able = materialised(shared_counts(sets, k).filter(100 * F.col("c") >= percent * F.col("n")), "able")
+    members = materialised(met.join(able, "node"), "members")
+
+    def fits(n: str, c: str, m: str, e: str):
+        """No intersection is larger than what both share with others."""
+        return (100 + percent) * F.least(c, e) >= percent * (F.col(n) + F.col(m))
+
+    labels = able.select("node", F.col("node").alias("label"))
     for turn in range(ROUNDS + 1):
         at = materialised(members.join(labels, "node"), "labelled")
         # Buckets whose members are all connected have nothing left to find.
         rank = F.col("node") if turn == 0 else F.xxhash64("node", "key", F.lit(turn))
-        heads = at.groupBy("key").agg(F.min(F.struct(rank.alias("r"), F.col("node").alias("node"), F.col("n").alias("n"), F.col("label").alias("label"))).alias("head"), (F.min("label") < F.max("label")).alias("open")).filter("open").drop("open")
-        heads = materialised(heads, "heads")
-        open_ = at.join(heads, "key")
+        heads = at.groupBy("key").agg(F.min(F.struct(rank.alias("r"), "node", "n", "c", "label")).alias("head"), (F.min("label") < F.max("label")).alias("open")).filter("open").drop("open")
+        open_ = at.join(materialised(heads, "heads"), "key")
         if turn < ROUNDS:
-            pairs = open_.filter((F.col("label") != F.col("head.label")) & fits(F.col("n"), F.col("head.n"))).select(*[F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b")])
+            pairs = open_.filter((F.col("label") != F.col("head.label")) & fits("n", "c", "head.n", "head.c")).select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b"))
+            links = confirmed(materialised(pairs.distinct(), "pairs"), sets, k, percent)
         else:
-            rest = materialised(open_.select("key", "node", "n", "label").join(nodes.select("node", "sig"), "node"), "rest")
-            x, y = (rest.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "label", "sig")]) for s in "xy")
-            cross = x.join(y, "key").filter((F.col("node_x") < F.col("node_y")) & (F.col("label_x") != F.col("label_y")) & fits(F.col("n_x"), F.col("n_y")))
-            least = percent / 100 * COORDINATES - 5 * (percent / 100 * (1 - percent / 100) * COORDINATES) ** 0.5
-            pairs = cross.filter(alike(F.col("sig_x"), F.col("sig_y")) >= int(least)).select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
-        pairs = pairs.distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialised(pairs, "pairs")
-        if not pairs.limit(1).count():
-            continue
-        tried = pairs if tried is None else tried.union(pairs)
-        links = confirmed(pairs, sets, k, percent)
+            clusters = materialised(components(open_.select(F.col("node").alias("a"), F.col("head.node").alias("b"))), "clusters")
+            rest = materialised(clusters.join(labels, "node").select("node", "label", F.col("root").alias("cluster")), "rest")
+            links = links_by_blocks(rest, sets, k, percent)
         # Links between labels join components of earlier rounds.
-        by = labels.select(F.col("node").alias("a"), F.col("label").alias("la")), labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-        edges = links.join(by[0], "a").join(by[1], "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+        la, lb = labels.select(F.col("node").alias("a"), F.col("label").alias("la")), labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+        edges = links.join(la, "a").join(lb, "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
         roots = materialised(components(edges), "roots")
         labels = materialised(labels.join(roots.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("root", "label").alias("label")), "labels")
 
