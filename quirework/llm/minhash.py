@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialised, small_side
+from .common import materialised
 from .graph import components
 from .substring import ROWS, gram_hashes, word_hashes
 
@@ -121,7 +121,7 @@ def packed_sets(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(z, pa.binary())], names=["node", "z"])
 
     source = docs.select(F.struct("doc_id").alias("row"), F.col("text").cast("binary").alias("text"))
-    want = small_side(wanted.select(F.struct("doc_id").alias("row"), "node"))
+    want = wanted.select(F.struct("doc_id").alias("row"), "node")
     found = source.join(want, "row").select("node", "text").mapInArrow(run, "node long, z binary")
     return found.groupBy("node").agg(F.first("z").alias("z"))
 
