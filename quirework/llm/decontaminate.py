@@ -58,7 +58,10 @@ def document_seeds(h: Column, short: list[int], window: int, k: int) -> Column:
         return seed(F.lit(window), g, start, F.slice(h, start + 1, j + window - start))
 
     long = F.coalesce(anchors(h, window, k, visit), F.array().cast(SEEDS))
-    return F.concat(long, *[F.transform(grams_of(h, m), lambda g, i, m=m: seed(F.lit(m), g, i, none)) for m in short])
+    def whole(m: int) -> Column:
+        return F.transform(grams_of(h, m), lambda g, i: seed(F.lit(m), g, i, none))
+
+    return F.concat(long, *map(whole, short))
 
 
 
