@@ -70,7 +70,7 @@ def damaged(spark, d) -> DataFrame:
 @query(f"WITH {fx.SENTENCES_SQL} SELECT * FROM (SELECT 'missing' AS issue, count(*) AS n FROM s WHERE c % 4 IN (1, 3) UNION ALL SELECT 'double', count(*) FROM s WHERE c % 4 = 2 UNION ALL SELECT 'unknown', count(*) FROM s WHERE c % 4 = 3) WHERE n > 0")
 def placeholder_audit(spark, d):
     """by a full outer join of counts."""
-    found = verify.placeholder_audit(damaged(spark, d), ["o", "n", "part", "k"])
+    found = verify.placeholder_audit(damaged(spark, d), ["o", "n", "part", "k", "q", "d"])
     issue = F.when(F.col("expected") == 0, "unknown").when(F.col("found") == 0, "missing").otherwise("double")
     return found.groupBy(issue.alias("issue")).agg(F.count("*").alias("n"))
 
@@ -583,7 +583,7 @@ def type_accuracy(spark, d):
 @query(f"WITH {fx.SENTENCES_SQL}, x AS (SELECT 5 * count(*) AS predicted, (5 * count(*) FILTER (o % 4 <> 0) + 4 * count(*) FILTER (o % 4 = 0)) AS expected, (5 * count(*) FILTER (o % 4 NOT IN (0, 1)) + 4 * count(*) FILTER (o % 4 IN (0, 1))) AS hits FROM s) SELECT *, hits / predicted AS precision, hits / expected AS recall, 2 * (hits / predicted) * (hits / expected) / (hits / predicted + hits / expected) AS f1 FROM x")
 def span_prf(spark, d):
     """Expected spans lack one item in a quarter of the blocks, and have a wrong one in another."""
-    s = fx.sentences(spark, d).withColumnRenamed("source", "text").withColumn("document_id", F.col("o")).withColumn("block_id", F.concat_ws("-", "n", "part", "k"))
+    s = fx.sentences(spark, d).withColumnRenamed("source", "text").withColumn("document_id", F.col("o")).withColumn("block_id", F.concat_ws("-", "n", "part", "k", "q", "d"))
     draft = evaluate.draft_labels(s.withColumn("block_type", F.lit("paragraph"))).withColumn("protection_reviewed", F.lit(True))
     items = F.when(F.col("document_id") % 4 == 0, F.slice("expected_items", 1, 4)).when(F.col("document_id") % 4 == 1, F.transform("expected_items", lambda t, i: F.when(i == 0, F.struct(t["kind"].alias("kind"), t["value"].alias("value"), (t["start"] + 1).alias("start"), t["end"].alias("end"))).otherwise(t))).otherwise(F.col("expected_items"))
     return evaluate.span_scores(s, draft.withColumn("expected_items", items)).select(*long("predicted", "expected", "hits"), "precision", "recall", "f1")
