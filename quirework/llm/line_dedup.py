@@ -189,7 +189,8 @@ def dedup_report(docs: DataFrame, **options) -> DataFrame:
 def without_repeats(docs: DataFrame, **options) -> DataFrame:
     """The columns of docs, without the lines that go, and without the documents that have no word left because of it."""
     found = decisions(docs.select("doc_id", "text"), **options).select("row", F.concat("exact", "near").alias("_gone"))
-    out = docs.withColumn("row", F.struct(F.col("doc_id").alias("id"))).join(found, "row", "left")
+    # Decisions grow with the corpus: sorted and merged at every size, never broadcast.
+    out = docs.withColumn("row", F.struct(F.col("doc_id").alias("id"))).join(found.hint("merge"), "row", "left")
     left = F.array_join(let(F.col("_gone"), lambda gone: F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(gone, i))), "\n")
     cut = evaluated(out.withColumn("_left", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left)))
     stay = cut.filter(F.col("_gone").isNull() | F.regexp_like("_left", F.lit(f"[^{SPACE}]")))

@@ -122,7 +122,8 @@ def packed_sets(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
 
     source = docs.select(F.struct("doc_id").alias("row"), F.col("text").cast("binary").alias("text"))
     want = wanted.select(F.struct("doc_id").alias("row"), "node")
-    found = source.join(want, "row").select("node", "text").mapInArrow(run, "node long, z binary")
+    # The wanted grow with the corpus: sorted and merged at every size, never broadcast.
+    found = source.join(want.hint("merge"), "row").select("node", "text").mapInArrow(run, "node long, z binary")
     return found.groupBy("node").agg(F.first("z").alias("z"))
 
 
