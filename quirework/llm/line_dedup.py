@@ -124,9 +124,13 @@ def crowded(members: DataFrame, texts: DataFrame) -> DataFrame:
     starts = F.filter(places, lambda p: (p == 0) | (F.substring("rest", p, F.lit(1)) != F.substring("rest", p + 1, F.lit(1))))
     shorter = F.transform(starts, lambda p: key("gap", F.lit(0), without_one(F.col("rest"), p)))
     own = F.when(F.col("index"), F.concat(swapped, F.array(key("gap", F.lit(0), F.col("rest"))))).otherwise(shorter)
-    keyed = materialised(halves.select("h1", "h2", "first", F.explode_outer(own).alias("cut")).filter(F.col("cut").isNotNull()), "cuts")
-    groups = materialised(keyed.groupBy("cut").agg(F.min("first").alias("lead"), F.max("first").alias("last")).filter("lead < last").drop("last"), "groups")
-    return keyed.join(groups, "cut").filter(F.col("first") > F.col("lead")).select("h1", "h2", F.col("lead").alias("first"))
+    keyed = materialised(halves.select("h1", "h2", "first", "index", F.explode_outer(own).alias("cut")).filter(F.col("cut").isNotNull()), "cuts")
+    # A group with probes is one of gaps: there a probe is near the index line alone, and that line near any probe. Two
+    # probes that lose different characters may be two edits apart; as lines of one length they meet by their swap keys.
+    leads = keyed.groupBy("cut").agg(F.min(F.when(F.col("index"), F.col("first"))).alias("lead"), F.min(F.when(~F.col("index"), F.col("first"))).alias("probe"), F.max("first").alias("last"))
+    groups = materialised(leads.filter("lead is not null and (probe is not null or lead < last)").drop("last"), "groups")
+    other = F.when(F.col("index") & F.col("probe").isNotNull(), F.col("probe")).otherwise(F.col("lead"))
+    return keyed.join(groups, "cut").select("h1", "h2", "first", other.alias("other")).filter(F.col("first") > F.col("other")).select("h1", "h2", F.col("other").alias("first"))
 
 
 def line_classes(docs: DataFrame, max_edits: int = MAX_EDITS, least: int = LEAST, crowd: int = CROWD) -> DataFrame:

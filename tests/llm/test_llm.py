@@ -58,6 +58,21 @@ def test_line_dedup(spark, crowd):
     assert kept.columns == [c.split(" ")[0] for c in DOCS.split(", ")] and kept.filter("doc_id = 0").first()["text"] == texts[0]
 
 
+@pytest.mark.parametrize("crowd", [40, 1])
+def test_line_dedup_two_edits(spark, crowd):
+    """Lines of one length that give the same text by losing one character at different places are two edits apart, and stay."""
+    half = "abcdefghijklmnop"
+    texts = [half + "qrstuvwxyz.1234", half + "qrstuvwxyz.2341", "1234" + half + "qrstuvwxyz.", "2341" + half + "qrstuvwxyz."]
+    assert not any(edits1(a, b) for a in texts for b in texts)
+    got = {r["doc_id"]: r["n_near"] for r in line_dedup.dedup_report(docs_of(spark, texts), crowd=crowd).collect()}
+    assert got == dict.fromkeys(range(4), 0)
+    # With the shortened line at the end only that one is near; at the start both are near it.
+    short = half + "qrstuvwxyz.234"
+    for order, want in (([*texts[:2], short], [0, 0, 1]), ([short, *texts[:2]], [0, 1, 1]), ([texts[0], short, texts[1]], [0, 1, 1])):
+        got = {r["doc_id"]: r["n_near"] for r in line_dedup.dedup_report(docs_of(spark, order), crowd=crowd).collect()}
+        assert got == dict(enumerate(want))
+
+
 def shingle_set(text, k):
     w = (text or "").encode().lower().split()
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
