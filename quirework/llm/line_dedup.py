@@ -12,8 +12,9 @@ the other halves become equal by leaving out one character at the same place, or
 Each line is keyed by those shortened halves, and equal keys are grouped. (With more edits allowed, every bucket is
 joined by pairs.)
 
-DataFrame expressions only. Lines shorter than ``least`` characters repeat by chance and stay, blank ones too. Lines
-are compared without the white space around them.
+DataFrame expressions only. Lines shorter than ``least`` characters are never near an earlier line; those of
+``exact_least`` characters and more (by default ``least``; 1 for every line with a word) still go if an earlier line
+equals them. Blank lines stay. Lines are compared without the white space around them.
 
 Defined results: a null or empty text has one empty line. Order is (doc_id, line), a null doc_id first. Rows that share
 a doc_id are one document given several times: a line is no repeat of itself there. An empty table gives no rows. The
@@ -98,6 +99,11 @@ def edits_at_most(a: Column, b: Column, e: int) -> Column:
     return near & F.when(F.length(b) == 0, F.length(a) <= e).otherwise(let(F.struct(F.split(a, "").alias("p"), F.split(b, "").alias("t")), run))
 
 
+def shortest_of(least: int, exact_least: int | None) -> int:
+    """The characters of the shortest lines that are looked at; blank lines never are."""
+    return least if exact_least is None else max(1, min(least, exact_least))
+
+
 def lines_of(docs: DataFrame, least: int) -> DataFrame:
     """row, at (line number), line (trimmed), n (its characters), h1, h2: the lines that can go. docs: row, text."""
     cut = docs.select("row", F.posexplode_outer(F.split(F.coalesce("text", F.lit("")), "\n")).alias("at", "line"))
@@ -133,11 +139,13 @@ def crowded(members: DataFrame, texts: DataFrame) -> DataFrame:
     return keyed.join(groups, "cut").select("h1", "h2", "first", other.alias("other")).filter(F.col("first") > F.col("other")).select("h1", "h2", F.col("other").alias("first"))
 
 
-def line_classes(docs: DataFrame, max_edits: int = MAX_EDITS, least: int = LEAST, crowd: int = CROWD) -> DataFrame:
+def line_classes(docs: DataFrame, max_edits: int = MAX_EDITS, least: int = LEAST, crowd: int = CROWD, exact_least: int | None = None) -> DataFrame:
     """h1, h2, first (row and at where the line first stands), near (the same of the first line within max_edits that stands earlier, or null): of lines that stand twice or have such a line. docs: row, text."""
-    e = max_edits
-    lines = lines_of(docs, least)
+    e, shortest = max_edits, shortest_of(least, exact_least)
+    lines = lines_of(docs, shortest)
     keys = segment_keys(F.col("line"), F.col("n"), e)
+    if shortest < least:  # shorter lines have no keys, so they meet no other line
+        keys = F.when(F.col("n") >= least, keys).otherwise(F.array().cast("array<struct<key:bigint,role:int>>"))
     place = F.struct("row", "at")
     distinct = materialised(lines.select("h1", "h2", place.alias("place"), keys.alias("keys")).groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count("*").alias("times"), F.first("keys").alias("keys")), "lines")
     dealt = distinct.select("h1", "h2", F.explode("keys").alias("k")).select("h1", "h2", "k.key", "k.role")
@@ -171,12 +179,12 @@ def rows_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(F.col("doc_id").alias("id")).alias("row"), "text")
 
 
-def decisions(docs: DataFrame, max_edits: int = MAX_EDITS, least: int = LEAST, crowd: int = CROWD) -> DataFrame:
+def decisions(docs: DataFrame, max_edits: int = MAX_EDITS, least: int = LEAST, crowd: int = CROWD, exact_least: int | None = None) -> DataFrame:
     """row, exact, near (arrays of line numbers that go, and why) of documents that lose lines. docs: doc_id, text."""
     own = rows_of(docs)
-    classes = line_classes(own, max_edits, least, crowd)
+    classes = line_classes(own, max_edits, least, crowd, exact_least)
     place = F.struct("row", "at")
-    gone = lines_of(own, least).select("row", "at", "h1", "h2").join(classes, ["h1", "h2"]).filter(F.col("near").isNotNull() | (place > F.col("first")))
+    gone = lines_of(own, shortest_of(least, exact_least)).select("row", "at", "h1", "h2").join(classes, ["h1", "h2"]).filter(F.col("near").isNotNull() | (place > F.col("first")))
     why = lambda c: F.sort_array(F.collect_set(F.when(c, F.col("at"))))
     return materialised(gone.groupBy("row").agg(why(F.col("near").isNull() | (place > F.col("first"))).alias("exact"), why(F.col("near").isNotNull() & ~(place > F.col("first"))).alias("near")), "decisions")
 

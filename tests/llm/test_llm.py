@@ -73,6 +73,15 @@ def test_line_dedup_two_edits(spark, crowd):
         assert got == dict(enumerate(want))
 
 
+def test_line_dedup_short_lines(spark):
+    """With exact_least=1 every line with a word goes if an earlier one equals it; shorter lines than least have no near ones."""
+    long = "abcdefghijklmnopqrstuvwxyz"
+    texts = ["Les.\nHome\n\n" + long, " Les.\nHomes\n\n" + long + ".", "x\nLes.\n \nHome", long + "\nx", None]
+    want = {0: (0, 0, []), 1: (1, 1, [0, 3]), 2: (2, 0, [1, 3]), 3: (2, 0, [0, 1]), 4: (0, 0, [])}
+    got = {r["doc_id"]: (r["n_exact"], r["n_near"], list(r["removed"])) for r in line_dedup.dedup_report(docs_of(spark, texts), exact_least=1).collect()}
+    assert got == want
+
+
 def shingle_set(text, k):
     w = (text or "").encode().lower().split()
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
