@@ -12,10 +12,15 @@ from quirework.llm.common import materialised, small_side
 from quirework.llm.queries import VOCABULARY
 
 
-def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is among ids; a null doc_id is a key like any other."""
-    gone = small_side(materialised(ids.select(F.struct("doc_id").alias("_row")).distinct(), "gone"))
-    return docs.withColumn("_row", F.struct("doc_id")).join(gone, "_row", "left_anti").select(*docs.columns)
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs and _row, a number of each row's own: ids can be null or shared. Written, so that the numbers hold."""
+    return materialised(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+
+
+def without_rows(rows: DataFrame, numbers: DataFrame) -> DataFrame:
+    """rows (numbered) without those whose _row is among numbers, and without the column."""
+    gone = small_side(materialised(numbers.select("_row"), "gone"))
+    return rows.join(gone, "_row", "left_anti").drop("_row")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,14 +34,19 @@ def line_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles at a similarity of 0.8, the one with the least id stays."""
-    return without_ids(docs, minhash.near_duplicates(docs.select("doc_id", "text"), k=5, percent=80).filter(~F.col("kept")))
+    """Of documents linked by five-word shingles at a similarity of 0.8, the one with the least id stays, of rows with that id one; a null id is the greatest."""
+    rows = numbered(docs)
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
+    found = minhash.near_duplicates(rows.select(key.alias("doc_id"), "text"), k=5, percent=80)
+    return without_rows(rows, found.filter(~F.col("kept")).select("doc_id._row"))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return without_ids(docs, decontaminate.contamination(docs, benchmark).filter("contaminated"))
+    rows = numbered(docs)
+    found = decontaminate.contamination(rows.select(F.col("_row").alias("doc_id"), "text"), benchmark)
+    return without_rows(rows, found.filter("contaminated").select(F.col("doc_id").alias("_row")))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

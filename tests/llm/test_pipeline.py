@@ -81,3 +81,18 @@ def test_pipeline(spark):
     got = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in corpus_pipeline.run(spark, SMALL).collect()}
     assert got == want
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "line dedup", "MinHash near-dedup", "benchmark decontamination", "BPE encoding and decoding"]
+
+
+def test_null_and_shared_ids(spark, tmp_path):
+    """Rows are taken one by one: a null or shared id takes no other row with it, and of equal rows one stays."""
+    import corpus_pipeline
+
+    text = lambda c: " ".join(f"{c}{i}" for i in range(30))
+    spark.createDataFrame([(1, text("b"))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(None, text("a")), (None, text("c")), (1, text("a")), (2, text("d")), (2, text("d")), (2, text("e")), (3, text("d")), (None, text("f")), (None, text("f")), (None, None), (None, None)]
+    found = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path))
+    want = [(None, text("c")), (1, text("a")), (2, text("d")), (2, text("e")), (None, text("f")), (None, None), (None, None)]
+    assert found.columns == ["doc_id", "text"] and sorted(map(tuple, found.collect()), key=repr) == sorted(want, key=repr)
+    rows = [(None, text("b")), (None, text("a")), (1, text("c") + " " + text("b")), (1, text("d")), (2, text("b")), (3, None)]
+    found = corpus_pipeline.benchmark_leaks(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path))
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted([(None, text("a")), (1, text("d")), (3, None)], key=repr)
