@@ -122,6 +122,15 @@ def placeholder_errors(spark, d):
     return checked.groupBy("c").agg(F.count("*").alias("n"), F.least(F.lit(1.0), F.min(F.size(kinds)) * 0.25).alias("least_risk"))
 
 
+@query(f"WITH {fx.SENTENCES_SQL} SELECT c, count(*) AS n, least(1.0, CASE WHEN c % 4 = 0 THEN 0 WHEN c % 4 = 3 THEN 3 ELSE 2 END * 0.25)::DOUBLE AS least_risk, 0::BIGINT AS clean_errors FROM s GROUP BY c")
+def placeholder_errors_all(spark, d):
+    """G4 over the whole table: the classes of placeholder_errors and the undamaged ones. clean_errors: undamaged rows with an error."""
+    rows = damaged(spark, d).withColumn("r", tokens.restore("raw", "items")).select("c", "text", "items", F.col("r.text").alias("out"), F.col("r.warnings").alias("notes"))
+    kinds = F.filter("check.errors", lambda e: e["type"].isin("PlaceholderIntegrityError", "ProtectedTokenMismatch"))
+    checked = verify.check(rows, "text", "out", "items", "notes").groupBy("c")
+    return checked.agg(F.count("*").alias("n"), F.least(F.lit(1.0), F.min(F.size(kinds)) * 0.25).alias("least_risk"), F.count_if((F.col("c") % 4 == 0) & (F.size(kinds) > 0)).alias("clean_errors"))
+
+
 @query(f"WITH {fx.SENTENCES_SQL} SELECT c, 'DemoNotTranslation' AS error_type, count(*) AS n FROM s GROUP BY c")
 def demo_runs(spark, d):
     """G8, H16."""
