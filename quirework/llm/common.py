@@ -9,6 +9,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Java character class of what separates words: the six ASCII white-space characters.
 SPACE = r"\x20\x09-\x0D"
@@ -63,11 +64,22 @@ def upto(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
 
+def row_bytes(kind: T.DataType, value: Column) -> Column:
+    """About the bytes of a value in memory: 8 for a number, text by its bytes, arrays by their elements."""
+    if isinstance(kind, T.StructType):
+        return sum((row_bytes(f.dataType, value[f.name]) for f in kind.fields), F.lit(8))
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return 16 + F.coalesce(F.octet_length(value), F.lit(0))
+    if isinstance(kind, T.ArrayType):
+        return 16 + F.coalesce(F.aggregate(value, F.lit(0), lambda n, x: n + row_bytes(kind.elementType, x).cast("int")), F.lit(0))
+    return F.lit(8)
+
+
 def small_side(table: DataFrame, most_rows: int = 100_000, most_bytes: int = 16 << 20) -> DataFrame:
-    """A written table, marked for broadcast if it has at most so many rows in files of at most so many bytes; beyond that Spark shuffles and splits skewed keys."""
-    size = table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    small = int(str(size)) <= most_bytes and table.limit(most_rows + 1).count() <= most_rows
-    return F.broadcast(table) if small else table
+    """A written table, marked for broadcast if it has at most so many rows of at most so many bytes in memory; beyond that Spark shuffles and splits skewed keys."""
+    size = sum((row_bytes(f.dataType, F.col(f.name)) for f in table.schema.fields), F.lit(16)).cast("long")
+    found = table.select(size.alias("size")).limit(most_rows + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first()
+    return F.broadcast(table) if found["n"] <= most_rows and found["size"] <= most_bytes else table.hint("merge")
 
 
 def grams_of(hashes: Column, k: int) -> Column:

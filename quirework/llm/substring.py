@@ -11,13 +11,13 @@ once are done with. Occurrences of an anchor are joined by what they extend to:
 
 So a passage in a third of all documents costs a row for each occurrence, never a row for each pair. What is to go is
 merged to maximal spans. Keys are 128 bits of hash. Sums are made before shuffles, and joins on anchors, zones or
-windows are between written tables, whose hot keys Spark splits. Texts are shuffled, compressed, only beyond a checked
-number of documents with spans.
+windows are between written tables, whose hot keys Spark splits. Texts are shuffled, compressed, to the zones and to the
+spans of their documents: both grow with the corpus, so neither is broadcast at any size.
 
 Defined results: a null or empty text has no words and keeps the empty text. A window is judged on the input, not on
 what is left. Occurrences are ordered by (doc_id, place), a null doc_id first. Rows that share a doc_id are one
 document given several times: they are no copies of each other, and places found in one of them count for all. Texts
-shorter than a window lose nothing. An empty table gives no rows. Further columns are not looked at.
+shorter than a window lose nothing; very long ones are worked on whole, one at a time, in memory of some 100 bytes a word. An empty table gives no rows. Further columns are not looked at.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialised, small_side
+from .common import materialised
 
 WINDOW, K = 20, 6
 #: Rows of a batch that are worked on together, and bytes after which results are handed on.
@@ -225,7 +225,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFra
     gone = seeds.join(firsts.filter("n > 1").select("g", "z", "first"), ["g", "z"]).filter(own > F.col("first")).select("row", "an")
 
     tried = materialised(firsts.filter("contested").select("first.*").groupBy("row").agg(F.collect_list("an").alias("zones")), "tried")
-    windows = materialised(extended(packed(docs).join(small_side(tried), "row"), window, k), "windows")
+    windows = materialised(extended(packed(docs).join(tried.hint("merge"), "row"), window, k), "windows")
     heads = materialised(windows.groupBy("g", "w").agg(F.min(own).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "heads")
     ends = windows.join(heads, ["g", "w"]).filter(own > F.col("first")).select("row", "an")
     return merged(gone.union(ends).groupBy("row").agg(F.collect_list("an").alias("zones")), window)
@@ -236,5 +236,5 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, k: int = K, digest:
     # The id is wrapped, so that a null one is a key like any other.
     own = docs.select(F.struct(F.col("doc_id").alias("id")).alias("row"), "text")
     spans = materialised(repeated_spans(own, window, k), "spans")
-    out = without(packed(own).join(small_side(spans), "row", "left"), digest)
+    out = without(packed(own).join(spans.hint("merge"), "row", "left"), digest)
     return out.select(F.col("row.id").alias("doc_id"), *[c for c in out.columns if c != "row"])
