@@ -2,25 +2,30 @@
 
 An ARC file starts with a version block, whose second line names the header fields of every record: five in version 1,
 ten in version 2. Records are cut by the length that their header declares, never by searching for the next header, so
-payloads may hold anything. What ARC lacks is synthesised: record identifiers (UUID 5 over target, date and digest),
-ISO timestamps from the 14-digit dates, record types from scheme and content, and SHA-1 digests in base32.
+payloads may hold anything. What ARC lacks is synthesised: record identifiers (UUID 5 over file, place, target, date and
+digest), ISO timestamps from the 14-digit dates, record types from scheme and content, and SHA-1 digests in base32.
 
-Archives are written by Spark's text writer (a record with its closing CR LF CR LF is one line of it) into a folder
-that Spark can reach, and read by its binaryFile source: nothing needs a local file system.
+Archives are read by Spark's binaryFile source and inflated as a stream: a task holds one archive as it is stored, and
+one record. They are written by Spark's text writer into a folder that Spark can reach, a gzip member for each record,
+in files that end at the first record past a number of bytes: nothing needs a local file system.
 
 Defined results: a null url becomes ``-``, white space and controls in urls are percent-encoded; a null html is an
-empty payload; a null page_id leaves the record without one. Repeated page rows each get a record. A record whose
-declared length passes the end of the file keeps what is there and is marked ``WARC-Truncated: length``. A header line
-that doesn't fit the version's fields is passed over. Empty tables give archives without records.
+empty payload; a null page_id leaves the record without one. Repeated page rows each get a record with an identifier of
+its own. A payload of any length is one record. A header line is read from its date, so that spaces in the url or the
+content type do no harm; one that fits neither version but ends in a number has its declared length skipped, and any
+other is passed over. A record whose declared length passes the end of the file, or whose file is cut off, keeps what is
+there and is marked ``WARC-Truncated: length``. A WARC record without a digest, a page or a known header line is read
+with nulls. Empty tables give archives without records. Further columns of pages are not looked at.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
+import io
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,6 +38,8 @@ ARC_FIELDS = {
     "1": ("URL", "IP-address", "Archive-date", "Content-type", "Archive-length"),
     "2": ("URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length"),
 }
+#: A header line around its date, the only field of digits alone in front of the status or length.
+ARC_LINES = {"1": re.compile(r"(.*) (\S+) ([0-9]{4,17}) (.*) ([0-9]+)"), "2": re.compile(r"(.*) (\S+) ([0-9]{4,17}) (.*) (\S+) (\S+) (\S+) (\S+) (\S+) ([0-9]+)")}
 #: Fixed values of the WARC format.
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 CRLF = "\r\n"
@@ -42,12 +49,62 @@ RECORDS = "record_id string, warc_type string, warc_date string, target_uri stri
 READ = "record_id string, warc_type string, target_uri string, page_id long, payload_bytes long, payload_digest string, refers_to long, intact boolean"
 #: Bytes after which a batch is handed on.
 BATCH_BYTES = 4 << 20
+#: Bytes that are inflated at a time.
+PIECE = 1 << 16
+#: Stored bytes after which a written archive ends.
+FILE_BYTES = 32 << 20
 
 
 def base32_sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+def inflated(data: bytes) -> io.BufferedReader:
+    """The content as a stream that ends where a cut-off gzip file does; members follow each other."""
+    if data[:2] != b"\x1f\x8b":
+        return io.BufferedReader(io.BytesIO(data))
+
+    class Members(io.RawIOBase):
+        at, unit = 0, zlib.decompressobj(31)
+
+        def readable(self) -> bool:
+            return True
+
+        def readinto(self, room) -> int:
+            while self.at < len(data) or self.unit.unconsumed_tail:
+                if self.unit.eof:
+                    # Zeros may pad the space between members; anything else is no member.
+                    start = data.find(b"\x1f\x8b", self.at)
+                    if start < 0 or data[self.at : start].strip(b"\0"):
+                        return 0
+                    self.at, self.unit = start, zlib.decompressobj(31)
+                given = self.unit.unconsumed_tail
+                if not given:
+                    given = data[self.at : self.at + PIECE]
+                    self.at += len(given)
+                try:
+                    out = self.unit.decompress(given, len(room))
+                except zlib.error:
+                    self.at, self.unit = len(data), zlib.decompressobj(31)
+                    return 0
+                self.at -= len(self.unit.unused_data)
+                if out:
+                    room[: len(out)] = out
+                    return len(out)
+            return 0
+
+    return io.BufferedReader(Members(), PIECE)
+
+
+def read_upto(stream: io.BufferedReader, n: int) -> bytes:
+    """n bytes, or what is left; a wrong length takes no memory."""
+    parts = []
+    while n > 0 and (part := stream.read(min(n, 1 << 20))):
+        parts.append(part)
+        n -= len(part)
+    return b"".join(parts)
+
+
 def arc_header(version: str, **values: str) -> bytes:
     return " ".join(values.get(f.replace("-", "_"), "-") for f in ARC_FIELDS[version]).encode() + b"\n"
 
@@ -85,24 +142,20 @@ def pages_to_arcs(pages: DataFrame, per_file: int = 64) -> DataFrame:
     return pages.select("page_id", "url", F.col("html").cast("binary").alias("html")).mapInArrow(run, ARCS)
 
 
-def arc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes, bool]]:
+def arc_records(stream: io.BufferedReader) -> Iterator[tuple[dict[str, str], bytes, bool]]:
     """(header fields, content, truncated) of each record behind the version block."""
-    at, fields = 0, ARC_FIELDS["1"]
-    while at < len(data):
-        end = data.find(b"\n", at)
-        line = data[at : end if end >= 0 else len(data)].decode("utf-8", "replace").strip("\r")
-        at = end + 1 if end >= 0 else len(data)
-        got = line.split(" ")
-        if line.startswith("filedesc://"):
-            # The version block declares its own length, and its first word the version of all that follows.
-            length = int(got[-1]) if got[-1].isdigit() else 0
-            block = data[at : at + length].decode("utf-8", "replace").split("\n")
-            fields = ARC_FIELDS.get(block[0].split(" ")[0], fields)
-            at += length
-        elif len(got) == len(fields) and got[-1].isdigit():
-            length = int(got[-1])
-            yield dict(zip(fields, got, strict=True)), data[at : at + length], at + length > len(data)
-            at += length
+    version = "1"
+    while line := stream.readline():
+        text = line.decode("utf-8", "replace").rstrip("\r\n")
+        last = text.rpartition(" ")[2]
+        length = int(last) if re.fullmatch(r"[0-9]{1,18}", last) else 0
+        content = read_upto(stream, length)
+        if text.startswith("filedesc://"):
+            # The version block's first word is the version of all that follows.
+            word = content.split(b" ", 1)[0].decode("utf-8", "replace")
+            version = word if word in ARC_LINES else version
+        elif m := ARC_LINES[version].fullmatch(text):
+            yield dict(zip(ARC_FIELDS[version], m.groups(), strict=True)), content, len(content) < length
 
 
 def split_http(content: bytes) -> tuple[bytes, bytes]:
@@ -114,7 +167,8 @@ def split_http(content: bytes) -> tuple[bytes, bytes]:
 
 
 def warc_date(date: str) -> str:
-    d = date.ljust(14, "0") if date.isdigit() else "19700101000000"
+    """Missing digits are those of the first moment of the time that is given."""
+    d = date[:14] + "19700101000000"[len(date) :]
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
@@ -125,13 +179,12 @@ def convert_arcs(arcs: DataFrame) -> DataFrame:
         schema = pa.schema([("record_id", pa.string()), ("warc_type", pa.string()), ("warc_date", pa.string()), ("target_uri", pa.string()), ("ip", pa.string()), ("content_type", pa.string()), ("head", pa.binary()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("truncated", pa.bool_())])
         rows, held = [], 0
         for batch in batches:
-            for content in batch.column("content"):
-                data = content.as_py() or b""
-                for h, block, truncated in arc_records(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
+            for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
+                for number, (h, block, truncated) in enumerate(arc_records(inflated(content.as_py() or b""))):
                     head, body = split_http(block)
                     digest, url, date = base32_sha1(body), h["URL"], warc_date(h["Archive-date"])
                     kind = "response" if head else "resource"
-                    rid = f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, ' '.join((url, date, digest, base32_sha1(head))))}"
+                    rid = f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, ' '.join((path.as_py() or '', str(number), url, date, digest)))}"
                     rows.append((rid, kind, date, url, h["IP-address"], "application/http; msgtype=response" if head else h["Content-type"], head, body, len(body), digest, truncated))
                     held += len(block)
                     if held > BATCH_BYTES:
@@ -160,8 +213,8 @@ def repeated_payloads(records: DataFrame, top_by: str, least_bytes: int = 0) ->
     return found.filter("n > 1").drop("n")
 
 
-def warc_text(page_id: Column) -> Column:
-    """A whole WARC record but for its last line feed, which the text writer adds."""
+def warc_record(page_id: Column) -> Column:
+    """The bytes of a whole WARC record."""
     revisit = F.col("refers_to_id").isNotNull()
     line = lambda name, value: F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit(CRLF)), F.lit(""))
     block = F.when(revisit, F.col("head")).otherwise(F.concat("head", "payload"))
@@ -183,43 +236,74 @@ def warc_text(page_id: Column) -> Column:
         line("Content-Length", F.length(block).cast("string")),
         F.lit(CRLF),
     )
-    return F.concat(head.cast("binary"), block, F.lit("\r\n\r").cast("binary")).cast("string")
+    return F.concat(head.cast("binary"), block, F.lit(CRLF + CRLF).cast("binary"))
+
 
+def gzip_member(data: bytes) -> bytes:
+    """data as a gzip member whose last byte is zero. The last byte is the highest of the length: from 16 MB on an empty member follows."""
+    c = zlib.compressobj(6, zlib.DEFLATED, 31)
+    out = c.compress(data) + c.flush()
+    return out if not out[-1] else out + gzip_member(b"")
 
-def write_warcs(records: DataFrame, page_id: Column, path: str, per_file: int = 500) -> None:
-    """Gzipped WARC files of at most per_file records in the folder path."""
-    records.select(warc_text(page_id).alias("value")).write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
+def write_warcs(records: DataFrame, page_id: Column, path: str, file_bytes: int = FILE_BYTES) -> None:
+    """Archives in the folder path, each ending at the first record past file_bytes.
 
-def warc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header, block) of each record, cut by Content-Length."""
-    at = 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.index(b"\r\n\r\n", at)
-        header = dict(x.split(": ", 1) for x in data[at:end].decode("utf-8", "replace").split("\r\n")[1:])
-        length = int(header["Content-Length"])
-        yield header, data[end + 4 : end + 4 + length]
-        at = end + 4 + length + 4
+    An archive is one line of the text writer, which ends lines by a zero byte: the last byte of the last member.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for record in batch.column(0):
+                held.append(gzip_member(record.as_py()))
+                size += len(held[-1])
+                if size >= file_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], names=["value"])
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], names=["value"])
+
+    files = records.select(warc_record(page_id).alias("value")).mapInArrow(run, "value binary")
+    files.select(F.col("value").cast("string")).write.option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", 1).text(path)
+
+
+def warc_records(stream: io.BufferedReader) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(header, block) of each record, cut by Content-Length; names in lower case. What stands between records is passed over."""
+    while line := stream.readline():
+        if not line.startswith(b"WARC/"):
+            continue
+        header: dict[str, str] = {}
+        while (line := stream.readline()) not in (b"", b"\n", CRLF.encode()):
+            name, _, value = line.decode("utf-8", "replace").partition(":")
+            header[name.strip().lower()] = value.strip()
+        length = header.get("content-length", "")
+        yield header, read_upto(stream, int(length)) if re.fullmatch(r"[0-9]{1,18}", length) else b""
 
 
 def read_warcs(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each record of the gzipped or plain WARC files in the folder; intact: the payload has the declared length and digest."""
+    """A row for each record of the gzipped or plain WARC files in the folder; intact: block and payload have the declared lengths and digest, where declared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("record_id", pa.string()), ("warc_type", pa.string()), ("target_uri", pa.string()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("intact", pa.bool_())])
-        number = lambda x: None if x is None else int(x)
+        number = lambda x: int(x) if re.fullmatch(r"-?[0-9]{1,18}", x or "") else None
+        rows = []
+        batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
         for batch in batches:
             for content in batch.column("content"):
-                data, rows = content.as_py(), []
-                for h, block in warc_records(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
-                    digest, n = h["WARC-Payload-Digest"].removeprefix("sha1:"), number(h.get("X-Payload-Length"))
-                    intact = True
-                    if h["WARC-Type"] != "revisit":
+                for h, block in warc_records(inflated(content.as_py() or b"")):
+                    kind, declared = h.get("warc-type"), h.get("warc-payload-digest", "").removeprefix("sha1:") or None
+                    digest, n, intact = declared, number(h.get("x-payload-length")), len(block) == number(h.get("content-length"))
+                    if kind != "revisit":
                         body = split_http(block)[1]
-                        own, intact = base32_sha1(body), n == len(body)
-                        digest, n, intact = own, len(body), intact and own == digest
-                    rows.append((h["WARC-Record-ID"].strip("<>"), h["WARC-Type"], h.get("WARC-Target-URI"), number(h.get("X-Page-Id")), n, digest, number(h.get("X-Refers-To-Page-Id")), intact))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                        digest = base32_sha1(body)
+                        intact = intact and n in (None, len(body)) and declared in (None, digest)
+                        n = len(body)
+                    rows.append((h.get("warc-record-id", "").strip("<>") or None, kind, h.get("warc-target-uri"), number(h.get("x-page-id")), n, digest, number(h.get("x-refers-to-page-id")), intact))
+                    if len(rows) >= 10_000:
+                        yield batch_of(rows)
+                        rows = []
+        if rows:
+            yield batch_of(rows)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, READ)
