@@ -25,19 +25,21 @@ FROM (SELECT count(*) AS k, sum({n})::DOUBLE AS n, sum({y})::DOUBLE / sum({n}) A
 
 def op1(rules: list[url_filter.Rule]) -> str:
     p = url_filter.Reputation()
+    pattern, bare = url_filter.domain_pattern(p.suffixes), "regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '')"
     return f"""WITH cut AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
 seen AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM cut),
 bad AS (SELECT doc_id, max(CASE WHEN quality = 0 THEN 1 ELSE 0 END) AS bad FROM labels WHERE quality IS NOT NULL GROUP BY 1),
-hosts AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0)::BIGINT AS y, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS bare FROM seen LEFT JOIN bad ON doc_id = page_id GROUP BY host),
-h AS (SELECT host, n, y, coalesce(nullif(regexp_extract(bare, '([^.]+\\.(?:(?:co|com|org|net|ac|gov|edu)\\.[a-z]{{2}}|[^.]+))$', 1), ''), bare) AS domain FROM hosts),
-hs AS (SELECT *, regexp_extract(domain, '[^.]*$') AS suffix FROM h),
+known AS (SELECT host, count(*) AS n, sum(bad)::BIGINT AS y FROM (SELECT DISTINCT page_id, host, bad FROM seen JOIN bad ON doc_id = page_id) GROUP BY host),
+hosts AS (SELECT host, coalesce(n, 0) AS n, coalesce(y, 0) AS y, {bare} AS bare FROM (SELECT DISTINCT host FROM seen) LEFT JOIN known USING (host)),
+h AS (SELECT *, regexp_matches(bare, '{url_filter.IPV4}') OR starts_with(bare, '[') AS ip, regexp_extract(bare, '{pattern}') AS found FROM hosts),
+hs AS (SELECT host, n, y, CASE WHEN ip OR found = '' THEN bare ELSE found END AS domain, CASE WHEN ip THEN 'ip' WHEN found = '' THEN bare ELSE regexp_extract(bare, '{pattern}', 1) END AS suffix FROM h),
 dm AS (SELECT domain, suffix, sum(n)::BIGINT AS n, sum(y)::BIGINT AS y FROM hs GROUP BY ALL), sx AS (SELECT suffix, sum(n)::BIGINT AS n, sum(y)::BIGINT AS y FROM dm GROUP BY 1),
 al AS (SELECT (sum(y) + 0.5::DOUBLE) / (sum(n) + 1.0::DOUBLE) AS m FROM sx),
 ks AS (SELECT v FROM {strength_sql('sx', 'n', 'y')}), kd AS (SELECT v FROM {strength_sql('dm', 'n', 'y')}), kh AS (SELECT v FROM {strength_sql('hs', 'n', 'y')}),
 sm AS (SELECT suffix, (y + (SELECT v FROM ks) * (SELECT m FROM al)) / (n + (SELECT v FROM ks)) AS m FROM sx),
 dd AS (SELECT domain, (dm.y + (SELECT v FROM kd) * sm.m) / (dm.n + (SELECT v FROM kd)) AS m FROM dm JOIN sm USING (suffix)),
 hm AS (SELECT host, (hs.y + (SELECT v FROM kh) * dd.m) / (hs.n + (SELECT v FROM kh)) AS m, hs.n + (SELECT v FROM kh) AS w FROM hs JOIN dd USING (domain)),
-lo AS (SELECT host, m - {p.z} * sqrt(m * (1 - m) / (w + 1)) > {p.threshold} AS blocked FROM hm)
+lo AS (SELECT host, m - ({p.z} - {(p.z * p.z - 1) / 6} * 2 * (1 - 2 * m) * sqrt(w + 1) / ((w + 2) * sqrt(m * (1 - m)))) * sqrt(m * (1 - m) / (w + 1)) > {p.threshold} AS blocked FROM hm)
 SELECT page_id, seen.host, path, {rule_sql(rules, lambda r: r.text)} AS rule, coalesce({rule_sql(rules, lambda r: r.verdict)}, CASE WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict FROM seen LEFT JOIN (SELECT host AS h, blocked FROM lo) lo ON lo.h = seen.host"""
 
 

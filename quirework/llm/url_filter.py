@@ -3,12 +3,15 @@
 Labelled page outcomes are counted for each host. Beta-binomial priors shrink them level by level: all pages to the
 suffix (``com``), the suffix to the registered domain (``example.com``), the domain to the host. A level's prior
 strength is fitted by moments to how much the groups of that level differ. A host is blocked if the lower bound of its
-posterior rate of bad pages is above a threshold.
+posterior rate of bad pages is above a threshold. The bound is the beta quantile by the normal approximation with
+its first correction for skew; against the exact quantile it is off by 0.02 at most where a and b are 1 or more
+(a test integrates the density).
 
 Defined results: a null url, or one without ``://``, has an empty host and path, fits no rule and is judged by the
-reputation of the empty host. A page without a label counts for nothing; of several labels of one page the worst
-counts. Repeated page rows are judged alike, each in a row of its own. Empty tables give an empty result. Further
-columns of the inputs are not looked at.
+reputation of the empty host. A url of any length is taken whole. A page without a label counts for nothing; of several
+labels of one page the worst counts. Rows count as pages: a page that stands many times counts once for a host, and
+each of its rows gets its own verdict. A null page_id has no label. An IP address is its own domain, under the suffix
+``ip``. Empty tables give an empty result. Further columns of the inputs are not looked at.
 """
 
 from __future__ import annotations
@@ -22,6 +25,16 @@ from pyspark.sql import functions as F
 from .common import LOWER, UPPER, materialised
 
 
+#: Second levels that registries of two-letter countries commonly keep, as a pattern of the whole suffix.
+TWO_LABELS = r"(?:co|com|org|net|ac|gov|edu|mil)\.[a-z]{2}"
+#: Two-label suffixes of the public list that the pattern leaves out, for the largest countries.
+SUFFIXES = (
+    "ad.jp", "ed.jp", "go.jp", "gr.jp", "lg.jp", "ne.jp", "or.jp", "go.kr", "ne.kr", "or.kr", "pe.kr", "re.kr", "ltd.uk", "me.uk", "nhs.uk", "plc.uk", "police.uk", "sch.uk", "asn.au", "id.au", "gen.nz", "geek.nz", "govt.nz", "iwi.nz", "kiwi.nz", "maori.nz", "school.nz",
+    "adv.br", "art.br", "blog.br", "eco.br", "eng.br", "ind.br", "jus.br", "nom.br", "gen.in", "firm.in", "ind.in", "nic.in", "res.in", "gob.ar", "gob.es", "gob.mx", "nom.es", "gouv.fr", "asso.fr", "go.id", "or.id", "web.id", "go.th", "in.th", "or.th", "web.za", "law.za", "nom.za", "idv.tw", "game.tw", "k12.tr", "gen.tr", "web.tr",
+)
+IPV4 = r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$"
+
+
 class Rule(NamedTuple):
     """verdict for a host with all its subdomains, where the path starts with path."""
 
@@ -35,12 +48,13 @@ class Rule(NamedTuple):
 
 
 class Reputation(NamedTuple):
-    """threshold: the highest rate of bad pages that a host's lower bound may have. z: standard deviations from the mean to the bound."""
+    """threshold: the highest rate of bad pages that a host's lower bound may have. z: standard deviations from the mean to the bound. suffixes: two-label suffixes under which domains are registered, beside those that TWO_LABELS describes."""
 
     threshold: float = 0.5
     z: float = 1.645
     least_strength: float = 2.0
     most_strength: float = 1000.0
+    suffixes: tuple[str, ...] = SUFFIXES
 
 
 def host_of(url: Column) -> Column:
@@ -58,10 +72,18 @@ def bare_host(host: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":[0-9]*$", "")
 
 
-def domain_of(host: Column) -> Column:
-    """The registered domain: the last two labels, or three under a country's second level such as co.uk; the host itself if it has no dot."""
-    found = F.regexp_extract(host, r"([^.]+\.(?:(?:co|com|org|net|ac|gov|edu)\.[a-z]{2}|[^.]+))$", 1)
-    return F.when(found == "", host).otherwise(found)
+def domain_pattern(suffixes: Sequence[str]) -> str:
+    """The registered domain at the end of a host, its suffix as the only group."""
+    return rf"[^.]+\.({'|'.join([TWO_LABELS, *(x.replace('.', '[.]') for x in suffixes), '[^.]+'])})$"
+
+
+def domain_of(host: Column, suffixes: Sequence[str] = SUFFIXES) -> tuple[Column, Column]:
+    """The registered domain, one label in front of the suffix, and the suffix; the host itself twice if it has no dot. An IP address, brackets included, is its own domain."""
+    pattern = domain_pattern(suffixes)
+    literal = F.regexp_like(host, F.lit(IPV4)) | host.startswith("[")
+    found = F.regexp_extract(host, pattern, 0)
+    suffix = F.regexp_extract(host, pattern, 1)
+    return F.when(literal | (found == ""), host).otherwise(found), F.when(literal, F.lit("ip")).when(found == "", host).otherwise(suffix)
 
 
 def rule_of(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Column, Column]:
@@ -88,10 +110,16 @@ def _strength(counts: DataFrame, n: str, y: str, p: Reputation) -> float:
     return min(max((1 - rho) / rho, p.least_strength), p.most_strength) if rho > 0 else p.most_strength
 
 
+def lower_bound(mean: Column, weight: Column, z: float) -> Column:
+    """About the quantile at -z standard deviations of the beta distribution with this mean and a + b = weight. The correction is (z * z - 1) / 6 of the skew, in standard deviations."""
+    skew = 2 * (1 - 2 * mean) * F.sqrt(weight + 1) / ((weight + 2) * F.sqrt(mean * (1 - mean)))
+    return mean - (z - (z * z - 1) / 6 * skew) * F.sqrt(mean * (1 - mean) / (weight + 1))
+
+
 def host_reputation(outcomes: DataFrame, p: Reputation = Reputation()) -> DataFrame:
-    """outcomes: host, labelled (rows), bad (rows), a row for each host. Adds domain, suffix, mean, low (the posterior bound) and blocked."""
-    bare = outcomes.withColumn("domain", domain_of(bare_host(F.col("host"))))
-    hosts = materialised(bare.withColumn("suffix", F.substring_index("domain", ".", -1)), "hosts")
+    """outcomes: host, labelled (pages), bad (pages), a row for each host. Adds domain, suffix, mean, low (the posterior bound) and blocked."""
+    domain, suffix = domain_of(bare_host(F.col("host")), p.suffixes)
+    hosts = materialised(outcomes.withColumns({"domain": domain, "suffix": suffix}), "hosts")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("labelled").alias("dn"), F.sum("bad").alias("dy"))
     suffixes = domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("dy").alias("sy"))
     total = suffixes.agg(F.sum("sn").alias("n"), F.sum("sy").alias("y")).first()
@@ -101,8 +129,7 @@ def host_reputation(outcomes: DataFrame, p: Reputation = Reputation()) -> DataFr
     domains = domains.join(suffixes, "suffix").withColumn("domain_mean", (F.col("dy") + k_domain * F.col("suffix_mean")) / (F.col("dn") + k_domain))
     weight = F.col("labelled") + k_host
     rated = hosts.join(domains.select("domain", "domain_mean"), "domain").withColumn("mean", (F.col("bad") + k_host * F.col("domain_mean")) / weight)
-    low = F.col("mean") - p.z * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (weight + 1))
-    return rated.withColumn("low", low).withColumn("blocked", F.col("low") > p.threshold)
+    return rated.withColumn("low", lower_bound(F.col("mean"), weight, p.z)).withColumn("blocked", F.col("low") > p.threshold)
 
 
 def filter_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[Rule] = (), p: Reputation = Reputation()) -> DataFrame:
@@ -114,7 +141,9 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[Rule] = (),
     """
     seen = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     bad = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("page_id")).agg(F.max((F.col("quality") == 0).cast("long")).alias("bad"))
-    outcomes = seen.join(bad, "page_id", "left").groupBy("host").agg(F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
+    known = seen.join(bad, "page_id").select("page_id", "host", "bad").distinct().groupBy("host").agg(F.count("*").alias("labelled"), F.sum("bad").alias("bad"))
+    none = F.lit(0).cast("long")
+    outcomes = seen.select("host").distinct().join(known, "host", "left").select("host", F.coalesce("labelled", none).alias("labelled"), F.coalesce("bad", none).alias("bad"))
     hosts = materialised(host_reputation(outcomes, p).select("host", F.col("mean").alias("bad_rate"), F.col("low").alias("bad_rate_low"), "blocked"), "reputation")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("blocked"), "block").otherwise("allow")
