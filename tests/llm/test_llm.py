@@ -1,9 +1,11 @@
 """Each operator against brute force on small rows with nulls, empty and repeated rows, ties and clashing columns."""
 
+import gzip
 import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -193,8 +195,66 @@ def test_warc(spark, tmp_path):
     back = sorted((r["page_id"] or 0, r["warc_type"], r["payload_bytes"], r["refers_to"]) for r in warc.read_warcs(spark, path).collect() if r["intact"])
     assert back == [(0, "revisit", 0, 2), (1, "revisit", 9, 3), (2, "response", 0, None), (3, "response", 9, None), (3, "response", 9, None), (4, "response", 16, None)]
     cut = warc.arc_file("n", "1", [("http://x", "20010203040506", b"HTTP/1.0 200 OK\r\n\r\nbody")])[:-3]
-    assert [(c, t) for _, c, t in warc.arc_records(cut)] == [(b"HTTP/1.0 200 OK\r\n\r\nbo", True)]
-    assert warc.warc_date("20010203040506") == "2001-02-03T04:05:06Z"
+    assert [(c, t) for _, c, t in warc.arc_records(warc.inflated(cut))] == [(b"HTTP/1.0 200 OK\r\n\r\nbo", True)]
+    assert warc.warc_date("20010203040506") == "2001-02-03T04:05:06Z" and warc.warc_date("2001") == "2001-01-01T00:00:00Z"
+    ids = [r["record_id"] for r in records.collect()]
+    assert len(set(ids)) == len(ids) == 6
+    none = pages.limit(0)
+    assert warc.convert_arcs(warc.pages_to_arcs(none)).count() == 0
+
+
+def test_arc_headers():
+    """Spaces in the url and the type, a line that fits no version, one without a length, a wrong length."""
+    block = b"1 0 x\nURL IP-address Archive-date Content-type Archive-length\n\n"
+    fake = b"http://fake 1.1.1.1 20010203040506 text/html 3"
+    data = b"filedesc://n 0.0.0.0 20010101000000 text/plain %d\n" % len(block) + block
+    data += b"http://a b c 1.1.1.1 20010203040506 text/html; charset=utf-8 %d\n%s\n\n" % (len(fake) + 1, fake)
+    data += b"odd line %d\n%s\n\nno length here\nhttp://d 1.1.1.1 20010203040506 text/html 4\nbody\n" % (len(fake) + 1, fake)
+    data += b"http://e 1.1.1.1 20010203040506 text/html 999999999999999999\nrest"
+    want = [("http://a b c", "text/html; charset=utf-8", fake + b"\n", False), ("http://d", "text/html", b"body", False), ("http://e", "text/html", b"rest", True)]
+    packed = gzip.compress(data[:100]) + b"\0\0" + gzip.compress(data[100:])
+    for stored in (data, packed, packed + b"junk"):
+        assert [(h["URL"], h["Content-type"], c, t) for h, c, t in warc.arc_records(warc.inflated(stored))] == want
+    big = gzip.compress(random.Random(1).randbytes(300_000))
+    assert len(warc.inflated(big[:-1000]).read()) > 290_000 and len(warc.inflated(big).read()) == 300_000
+
+
+def test_foreign_warcs(spark, tmp_path):
+    """A warcinfo record, a header line without a colon, no length, a record cut off; members of 16 MB and more."""
+    info = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:a>\r\nodd line\r\nContent-Length: 2\r\n\r\nhi\r\n\r\n"
+    bare = b"WARC/1.1\nwarc-type:resource\n\n\r\n\r\n"
+    cut = b"WARC/1.0\r\nWARC-Type: response\r\nX-Page-Id: x\r\nContent-Length: 100\r\n\r\nHTTP/1.1 200 OK\r\n\r\nbody"
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(info) + gzip.compress(bare) + gzip.compress(cut)[:-8])
+    rows = warc.read_warcs(spark, str(tmp_path)).collect()
+    assert [(r["record_id"], r["warc_type"], r["page_id"], r["payload_bytes"], r["intact"]) for r in rows] == [("urn:a", "warcinfo", None, 2, True), (None, "resource", None, 0, False), (None, "response", None, 4, False)]
+    pages = spark.createDataFrame([(1, "u", "é" * 9_000_000, "x")], "page_id long, url string, html string, payload string")
+    records = warc.convert_arcs(warc.pages_to_arcs(pages)).withColumns({"refers_to": F.lit(None).cast("long"), "refers_to_id": F.lit(None).cast("string")})
+    warc.write_warcs(records, F.lit(1), str(tmp_path / "w"))
+    assert [(r["payload_bytes"], r["intact"]) for r in warc.read_warcs(spark, str(tmp_path / "w")).collect()] == [(18_000_000, True)]
+
+
+def test_url_reputation(spark):
+    """Repeated rows count once; addresses and two-label suffixes make domains of their own; the bound is close to the exact quantile."""
+    bad = [(i, f"http://x{i}.ne.jp/") for i in range(40)] + [(100, "http://once.org/")] * 40 + [(101, "http://once.org/a"), (102, "http://once.org/b"), (None, None)] + [(i, f"http://g{i % 10}.org/") for i in range(200, 300)]
+    pages = spark.createDataFrame([(*r, "h", 1) for r in bad], "page_id long, url string, host string, bad int")
+    labels = spark.createDataFrame([(i, 0, 0) for i in range(40)] + [(100, 0, 0), (101, 1, 0), (102, 1, 0)] + [(i, 1, 0) for i in range(200, 300)], "doc_id long, quality int, host int")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.filter_urls(pages, labels).collect()}
+    alone = {r["page_id"]: r["verdict"] for r in url_filter.filter_urls(pages.distinct(), labels).collect()}
+    assert got == alone and got[100] == "allow" and got[0] == "block"
+    hosts = ["10.0.0.1", "192.168.0.1", "[::1]", "a.x.ne.jp", "a.b.co.uk", "b.com", "localhost", ""]
+    domain, suffix = url_filter.domain_of(F.col("host"))
+    assert [tuple(r) for r in spark.createDataFrame([(h,) for h in hosts], "host string").select(domain, suffix).collect()] == [("10.0.0.1", "ip"), ("192.168.0.1", "ip"), ("[::1]", "ip"), ("x.ne.jp", "ne.jp"), ("b.co.uk", "co.uk"), ("b.com", "com"), ("localhost", "localhost"), ("", "")]
+    cases = [(a, b) for a in (1, 2, 5, 20, 100) for b in (1, 2, 5, 20, 100)]
+    low = url_filter.lower_bound(F.col("a") / (F.col("a") + F.col("b")), F.col("a") + F.col("b"), 1.645)
+    x = (np.arange(1_000_000) + 0.5) / 1_000_000
+    for (a, b), r in zip(cases, spark.createDataFrame(cases, "a long, b long").select(low.alias("low")).collect(), strict=True):
+        density = np.exp((a - 1) * np.log(x) + (b - 1) * np.log1p(-x) - ((a - 1) * np.log(max(a - 1, 1e-9) / max(a + b - 2, 1)) if a > 1 else 0))
+        mass = np.cumsum(density)
+        assert abs(x[np.searchsorted(mass, 0.04999 * mass[-1])] - r["low"]) < 0.02, (a, b)
+
+
+def test_url_filter_empty(spark):
+    assert url_filter.filter_urls(spark.createDataFrame([], "page_id long, url string"), spark.createDataFrame([], "doc_id long, quality int"), RULES).count() == 0
 
 
 def test_url_filter(spark):
