@@ -4,7 +4,7 @@ Labelled page outcomes are counted for each host. Beta-binomial priors shrink th
 suffix (``com``), the suffix to the registered domain (``example.com``), the domain to the host. A level's prior
 strength is fitted by moments to how much the groups of that level differ. A host is blocked if the lower bound of its
 posterior rate of bad pages is above a threshold. The bound is the beta quantile by the normal approximation with
-its first correction for skew; against the exact quantile it is off by 0.03 at most where a and b are 1 or more
+its first correction for skew; against the exact quantile it is off by 0.05 at most where a and b are 1 or more
 (a test integrates the density).
 
 Defined results: a null url, or one without ``://``, has an empty host and path, fits no rule and is judged by the

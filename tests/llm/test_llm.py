@@ -40,26 +40,69 @@ def edits1(a, b):
     return len(b) - len(a) == 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
 
 
-@pytest.mark.parametrize("crowd", [40, 1])
-def test_line_dedup(spark, crowd):
-    """crowd=1 sends every bucket down the way without pairs."""
-    texts = corpus()
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def brute_lines(texts, within, least=24):
+    """doc_id to (exact, near, removed) by comparing every two lines."""
     lines = {(i, k): x.strip(" \t\x0b\x0c\r") for i, t in enumerate(texts) for k, x in enumerate((t or "").split("\n"))}
     first = {}
     for at, x in sorted(lines.items()):
-        if len(x) >= 24:
+        if len(x) >= least:
             first.setdefault(x, at)
-    near = {x for x in first for y in first if first[y] < first[x] and edits1(x, y)}
-    assert near
-    got = {r["doc_id"]: (r["n_exact"], r["n_near"], list(r["removed"])) for r in line_dedup.dedup_report(docs_of(spark, texts), crowd=crowd).collect()}
+    near = {x for x in first for y in first if first[y] < first[x] and within(x, y)}
+    out = {}
     for i in range(len(texts)):
-        own = [(k, x) for (d, k), x in lines.items() if d == i and len(x) >= 24]
+        own = [(k, x) for (d, k), x in lines.items() if d == i and len(x) >= least]
         exact, close = [k for k, x in own if first[x] != (i, k)], [k for k, x in own if first[x] == (i, k) and x in near]
-        assert got[i] == (len(exact), len(close), sorted(exact + close))
+        out[i] = (len(exact), len(close), sorted(exact + close))
+    return out, near
+
+
+def line_report(docs, **options):
+    return {r["doc_id"]: (r["n_exact"], r["n_near"], list(r["removed"])) for r in line_dedup.dedup_report(docs, **options).collect()}
+
+
+@pytest.mark.parametrize("crowd", [40, 1, 1 << 30])
+def test_line_dedup(spark, crowd):
+    """crowd=1 segments every bucket again, 1 << 30 none."""
+    texts = corpus()
+    want, near = brute_lines(texts, edits1)
+    assert near and line_report(docs_of(spark, texts), crowd=crowd) == want
     kept = line_dedup.without_repeats(docs_of(spark, texts), crowd=crowd)
     assert kept.columns == [c.split(" ")[0] for c in DOCS.split(", ")] and kept.filter("doc_id = 0").first()["text"] == texts[0]
 
 
+@pytest.mark.parametrize("edits, crowd", [(1, 1), (1, 40), (2, 1), (2, 5)])
+def test_line_dedup_crowds(spark, edits, crowd):
+    """Variants of a line by random edits, their original left out, beside a crowd that shares its first half; the lengths vary with the edits."""
+    rng = random.Random(edits * 100 + crowd)
+    base = "abcdefghijklmnopqrstuvwx"
+    texts = ["abcdefghijklmnopXqrstuvwx", "abcdefghijklmnopqrstYuvwx"] + [base[:12] + "".join(rng.choice("0123456789") for _ in range(12)) for _ in range(45)]
+    for _ in range(90):
+        t = list(base * rng.choice((1, 1, 2)))
+        for _ in range(rng.randint(1, 3)):
+            at = rng.randrange(len(t))
+            rng.choice((lambda: t.insert(at, rng.choice("xyz")), lambda: t.__setitem__(at, rng.choice("xyz")), lambda: t.pop(at)))()  # noqa: B023
+        texts.append("".join(t))
+    want, near = brute_lines(texts, lambda a, b: abs(len(a) - len(b)) <= edits and distance(a, b) <= edits, 20)
+    assert near and line_report(docs_of(spark, texts), max_edits=edits, crowd=crowd, least=20) == want
+    assert edits > 1 or want[1] == (0, 0, [])
+
+
+def test_line_dedup_long_lines(spark):
+    """Lines of a million characters in a crowd, runs of white space inside."""
+    base = "".join(random.Random(5).choice("abcdefgh ") for _ in range(500_000)) + " " * 500_000 + "end"
+    texts = [base, base[:-1] + "D", "x" + base, base[:700] + "z" + base[700:], base[:900_000] + "zz" + base[900_002:]]
+    assert line_report(docs_of(spark, texts), crowd=1) == {0: (0, 0, []), 1: (0, 1, [0]), 2: (0, 1, [0]), 3: (0, 1, [0]), 4: (0, 0, [])}
+
+
 @pytest.mark.parametrize("crowd", [40, 1])
 def test_line_dedup_two_edits(spark, crowd):
     """Lines of one length that give the same text by losing one character at different places are two edits apart, and stay."""
@@ -250,7 +293,7 @@ def test_url_reputation(spark):
     for (a, b), r in zip(cases, spark.createDataFrame(cases, "a long, b long").select(low.alias("low")).collect(), strict=True):
         density = np.exp((a - 1) * np.log(x) + (b - 1) * np.log1p(-x) - ((a - 1) * np.log(max(a - 1, 1e-9) / max(a + b - 2, 1)) if a > 1 else 0))
         mass = np.cumsum(density)
-        assert abs(x[np.searchsorted(mass, 0.04999 * mass[-1])] - r["low"]) < 0.03, (a, b)
+        assert abs(x[np.searchsorted(mass, 0.04999 * mass[-1])] - r["low"]) < 0.05, (a, b)
 
 
 def test_url_filter_empty(spark):
