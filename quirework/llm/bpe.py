@@ -1,25 +1,34 @@
 """Byte-level BPE with content-defined chunk reuse.
 
-A rolling hash over the bytes before a space decides whether a text is cut there, so equal passages fall into equal
-chunks wherever they stand. A chunk that documents share is encoded once by each worker process: its ids stay in a
-least-recently-used table with a fixed bound in bytes. At every join of two chunks the words around it are encoded
-again in one piece; if the ids differ from those of the chunks, the two chunks are encoded as one, and so on until the
-join agrees. Decoding turns ids into bytes and those into text, invalid UTF-8 into U+FFFD.
-
-Ids are those of the ``tokenizers`` library for the vocabulary file, special tokens in the text included. Encoding
-itself runs in ``tiktoken`` on the same vocabulary and pattern, which is several times faster; tests hold the two
-together. Nothing is shuffled; the memory is one batch of rows, one text and the table.
-
-Defined results: a null or empty text has no ids. Repeated rows are encoded row by row. Further columns stay out.
+A rolling hash over the last bytes decides whether a text is cut, at any character of any script, so equal passages fall
+into equal chunks wherever they stand. A chunk that documents share is encoded once by each worker process: its ids stay
+in a least-recently-used table with a fixed bound in bytes. A cut may fall inside a word, and then the ids on both sides
+of it are wrong. So every join is encoded again, between the nearest places to the left and right that are word
+boundaries whatever stands around them: in front of white space behind something else, and behind a letter in front of
+something that is none. If a side has no such place, the next chunk is taken in, up to the whole text. Where the new ids
+differ from the chunks' own, they replace them.
+
+Special tokens are split off first. Runs of white space beyond LONG_RUN characters are taken apart by the rule of the
+pattern (all but the last character is one word in front of something else), as the pattern engine can't match them.
+
+Decoding turns ids into bytes and those into text, invalid UTF-8 into U+FFFD. Ids are those of the ``tokenizers`` library
+for the vocabulary file, special tokens in the text included. Encoding itself runs in ``tiktoken`` on the same vocabulary
+and pattern, which is several times faster; tests hold the two together. Nothing is shuffled; the memory is one batch of
+rows, one text and the table.
+
+Defined results: a null or empty text has no ids. A text of any length and any content is encoded whole. Repeated rows
+are encoded row by row. An empty table gives no rows. Further columns stay out.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections import OrderedDict
 from collections.abc import Iterator
 from functools import lru_cache
+from unicodedata import category
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +37,15 @@ from pyspark.sql import functions as F
 
 #: Fixed value: how a byte-level vocabulary splits text before merging (the public pattern of 2019).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Bytes that the rolling hash looks at, and a cut in how many candidates.
-WINDOW, ONE_IN = 8, 128
+#: Bytes that the rolling hash looks at, and a cut in how many characters.
+WINDOW, ONE_IN = 8, 1024
+#: Characters of white space from which a run is taken apart before the pattern sees it.
+LONG_RUN = 10_000
+#: Fixed value: Unicode's white space.
+WHITE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+LONG = re.compile(f"(?<!{WHITE}){WHITE}{{{LONG_RUN},}}")
+#: Bytes on either side of a join that are searched for a word boundary first.
+AROUND = 64
 #: Bytes of chunks and ids that a worker process keeps.
 KEPT_BYTES = 48 << 20
 
@@ -53,29 +69,41 @@ class ChunkedBpe:
         symbol = byte_of_symbol()
         ranks = {bytes(symbol[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
         self.encoding = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
-        self.special = set(special)
-        self.bytes_of = {i: token for token, i in ranks.items()} | {i: token.encode() for token, i in special.items()}
+        self.special = {x.encode(): i for x, i in special.items()}
+        self.any_special = re.compile(b"(" + b"|".join(re.escape(x) for x in sorted(self.special, key=len, reverse=True)) + b")")
+        self.size_of = np.zeros(1 + max([*ranks.values(), *special.values()]), np.int64)
+        for token, i in ranks.items():
+            self.size_of[i] = len(token)
         self.table: OrderedDict[bytes, np.ndarray] = OrderedDict()
         self.room = kept_bytes
-        self.hits = self.misses = self.repairs = 0
+        self.hits = self.misses = self.joins = self.repairs = 0
         rng = np.random.default_rng(20240501)
         self.mix = rng.integers(0, 1 << 32, (WINDOW, 256), dtype=np.uint32)
 
     def cuts(self, data: bytes) -> list[int]:
-        """Where chunks start, 0 left out: at spaces between two ASCII letters, where the hash of the WINDOW bytes before says so."""
+        """Where chunks start, 0 left out: at characters where the hash of the WINDOW bytes before says so."""
         b = np.frombuffer(data, np.uint8)
         if len(b) <= 2 * WINDOW:
             return []
-        at = np.flatnonzero(b[WINDOW:-1] == 0x20) + WINDOW
-        letter = lambda x: ((x | 0x20) >= 0x61) & ((x | 0x20) <= 0x7A)
-        at = at[letter(b[at - 1]) & letter(b[at + 1])]
-        h = np.zeros(len(at), np.uint32)
+        h = np.zeros(len(b) - WINDOW, np.uint32)
         for k in range(WINDOW):
-            h += self.mix[k][b[at - 1 - k]]
-        return at[(h >> np.uint32(7)) % ONE_IN == 0].tolist()
-
-    def whole(self, data: bytes) -> np.ndarray:
-        return self.encoding.encode_to_numpy(data.decode("utf-8", "replace"), allowed_special=self.special).astype("<u4", copy=False)
+            h += self.mix[k][b[WINDOW - 1 - k : len(b) - 1 - k]]
+        at = np.flatnonzero((h >> np.uint32(7)) % ONE_IN == 0) + WINDOW
+        return at[(b[at] & 0xC0) != 0x80].tolist()
+
+    def plain(self, data: bytes) -> np.ndarray:
+        """The ids of a text in one piece."""
+        text = data.decode("utf-8", "replace")
+        runs = [m.span() for m in LONG.finditer(text)] if len(text) >= LONG_RUN else []
+        if not runs:
+            return self.encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
+        out, at = [], 0
+        for start, end in runs:
+            end -= end < len(text)
+            out += [self.encoding.encode_to_numpy(text[at:start], disallowed_special=()), np.array(self.encoding._encode_single_piece(text[start:end]), np.uint32)]
+            at = end
+        out.append(self.encoding.encode_to_numpy(text[at:], disallowed_special=()))
+        return np.concatenate(out).astype("<u4", copy=False)
 
     def chunk(self, data: bytes) -> np.ndarray:
         if (ids := self.table.get(data)) is not None:
@@ -83,7 +111,7 @@ class ChunkedBpe:
             self.table.move_to_end(data)
             return ids
         self.misses += 1
-        ids = self.whole(data)
+        ids = self.plain(data)
         self.table[data] = ids
         self.room -= len(data) + 4 * len(ids) + 200
         while self.room < 0:
@@ -91,32 +119,65 @@ class ChunkedBpe:
             self.room += len(old) + 4 * len(gone) + 200
         return ids
 
-    def agrees(self, left: np.ndarray, right: np.ndarray) -> bool:
-        """Whether the last word of the left chunk and the first of the right one get the same ids when encoded in one piece."""
-        tail, head = left[-8:].tolist(), right[:8].tolist()
-        word = next((i for i in range(len(tail) - 1, 0, -1) if self.bytes_of[tail[i]][:1] == b" "), 0)
-        after = next((i for i in range(1, len(head)) if self.bytes_of[head[i]][:1] == b" "), len(head))
-        around = tail[word:] + head[:after]
-        try:
-            text = b"".join([self.bytes_of[i] for i in around]).decode()
-        except UnicodeDecodeError:
-            return False
-        return self.encoding.encode(text, allowed_special=self.special) == around
+    def boundary(self, data: bytes, low: int, high: int, last: bool) -> int | None:
+        """The first or last place between two characters from low to high (in bytes) that is a word boundary whatever stands around them."""
+        size = AROUND
+        while True:
+            a, b = (max(low, high - size), high) if last else (low, min(high, low + size))
+            while low < a < b and data[a] & 0xC0 == 0x80:
+                a += 1
+            while a < b < high and data[b] & 0xC0 == 0x80:
+                b -= 1
+            text = data[a:b].decode()
+            for i in range(len(text) - 1, 0, -1) if last else range(1, len(text)):
+                x, y = text[i - 1], text[i]
+                if (y in " \n" and not x.isspace()) or (x.isalpha() and not y.isalpha() and category(y) != "Cn"):
+                    return a + len(text[:i].encode())
+            if b - a == high - low:
+                return None
+            size *= 4
+
+    def tokens_in(self, ids: np.ndarray, size: int) -> int:
+        """How many of the ids make the first size bytes, which end with a word."""
+        return int(np.searchsorted(np.cumsum(self.size_of[ids]), size, "right")) if size else 0
+
+    def ordinary(self, data: bytes) -> np.ndarray:
+        """The ids of a text without special tokens: those of its chunks, encoded again around each join."""
+        edges = [0, *self.cuts(data), len(data)]
+        ids = self.chunk(data[: edges[1]])
+        out, at, i = [], 0, 1  # what is right, the word start that it reaches, and the next chunk
+        while i < len(edges) - 1:
+            start = self.boundary(data, at, edges[i], True)
+            kept = self.tokens_in(ids, start - at) if start is not None else 0
+            out.append(ids[:kept])
+            start = at if start is None else start
+            own, end = [ids[kept:]], None
+            while end is None and i < len(edges) - 1:
+                ids = self.chunk(data[edges[i] : edges[i + 1]])
+                end = self.boundary(data, edges[i], edges[i + 1], False)
+                gone = len(ids) if end is None else self.tokens_in(ids, end - edges[i])
+                own.append(ids[:gone])
+                ids = ids[gone:]
+                i += 1
+            at = len(data) if end is None else end
+            again = self.plain(data[start:at])
+            self.joins += 1
+            self.repairs += not np.array_equal(again, np.concatenate(own))
+            out.append(again)
+        return np.concatenate([*out, ids]) if out else ids
 
     def encode(self, data: bytes) -> np.ndarray:
         """The ids of a text given in UTF-8, as little-endian unsigned 32-bit integers."""
         if not data:
             return np.zeros(0, "<u4")
-        edges = [0, *self.cuts(data), len(data)]
-        done: list[tuple[int, np.ndarray]] = []
-        for start, end in zip(edges, edges[1:], strict=False):
-            ids = self.chunk(data[start:end])
-            while done and not self.agrees(done[-1][1], ids):
-                self.repairs += 1
-                start = done.pop()[0]
-                ids = self.whole(data[start:end])
-            done.append((start, ids))
-        return done[0][1] if len(done) == 1 else np.concatenate([ids for _, ids in done])
+        try:
+            data.decode()
+        except UnicodeDecodeError:
+            data = data.decode("utf-8", "replace").encode()
+        if not self.special or not self.any_special.search(data):
+            return self.ordinary(data)
+        pieces = self.any_special.split(data)
+        return np.concatenate([np.array([self.special[x]], "<u4") if i % 2 else self.ordinary(x) for i, x in enumerate(pieces) if x])
 
     def decode(self, ids: np.ndarray) -> str:
         return self.encoding.decode_bytes(ids.tolist()).decode("utf-8", "replace")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,13 +12,11 @@ from . import bpe, chat, decontaminate, extract, line_dedup, minhash, quality, s
 from .common import materialised, scratch_path
 from .sql import ORACLE_SQL, op1
 
-#: Where the public vocabulary files lie; a parameter, never copied.
-TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
-VOCABULARY = f"{TOKENIZERS}/byte_bpe_50k.json"
+#: Where the public vocabulary file lies; a parameter of the operator, never copied.
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 RULES = [url_filter.Rule("allow", "com", "/"), url_filter.Rule("block", "example.com", "/en/"), url_filter.Rule("allow", "www.example.com", "/en/"), url_filter.Rule("block", "net", "/es/"), url_filter.Rule("block", "net", "/fr/")]
 
-
 ORACLE_SQL["op1_url_filter"] = op1(RULES)
 
 

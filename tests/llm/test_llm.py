@@ -217,6 +217,33 @@ def test_bpe(spark):
     assert small.encode(texts[-1].encode()).tolist() == want[len(texts) - 1] and len(small.table) < 20
 
 
+def test_bpe_repairs(monkeypatch):
+    """Cuts at about every eighth character of any script: words, contractions, runs of white space and special tokens are cut and repaired."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(VOCABULARY)
+    monkeypatch.setattr(bpe, "ONE_IN", 8)
+    coder, rng = bpe.ChunkedBpe(VOCABULARY), random.Random(1)
+    letters = ["a", "b", "'", "s", "l", " ", " ", "\n", "\t", "\u3000", "漢", "字", "。", "é", "e\u0301", "1", ".", "!", "<|endoftext|>", "'ll", " the", "ж", "🙂", "\x85", "\u00a0", "x"]
+    for k in range(1500):
+        text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 300)))
+        text = text.replace(" ", "") if k % 3 == 0 else "".join(rng.choice("漢字かな。 жня") for _ in range(300)) if k % 3 == 1 else text
+        ids = coder.encode(text.encode())
+        assert ids.tolist() == t.encode(text, add_special_tokens=False).ids and coder.decode(ids) == text
+    assert coder.repairs > 3000 and coder.hits > 100
+    assert coder.encode(b"ok \xff x").tolist() == t.encode("ok \ufffd x", add_special_tokens=False).ids
+
+
+def test_bpe_long_texts():
+    """Runs that the pattern engine can't match, and long texts without a space."""
+    from tokenizers import Tokenizer
+
+    t, coder, rng = Tokenizer.from_file(VOCABULARY), bpe.ChunkedBpe(VOCABULARY), random.Random(2)
+    pick = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    for text in (" " * 2_000_000, "a" + "\n" * 2_000_000 + "b", " " * 1_200_000 + "x", "!" * 2_000_000, pick(" \n\t", 300_000) + "x", pick("漢字的是不", 48_000), pick("абвгдежз", 48_000), pick("абвгдежз ", 300_000), "a" * 300_000):
+        assert coder.encode(text.encode()).tolist() == t.encode(text, add_special_tokens=False).ids
+
+
 def test_chat(spark):
     said = ["</s>[INST] ok [/INST]", "\\", "a\\[INST] \\\\</s>", "", None, "<<SYS>> x <</SYS>> [TURN] [SAYS] [/TURN]", "line\n\nline "]
     rows = [(c, k, r, t) for c in range(3) for k, (r, t) in enumerate(zip(["system", "user", "assistant", "tool", None, "user", "assistant"], said[c:] + said[:c], strict=True))]
