@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quirework.llm import bpe, chat, decontaminate, extract, line_dedup, minhash, quality, substring, url_filter, warc
+from quirework.llm import bpe, chat, decontaminate, line_dedup, minhash, quality, substring, url_filter, warc
 from quirework.llm.queries import RULES, VOCABULARY
 
 DOCS = "doc_id long, text string, n long, row string, key long"
@@ -339,28 +339,6 @@ def test_url_filter(spark):
     assert got[6] == ("x.net", "/es/", "net/es/", "block") and got[7] == ("bad.org", "/1", None, "block") and got[9][2] == "com/"
 
 
-def test_extraction_accuracy():
-    """On layouts the model hasn't seen, made with another seed."""
-    rng, model, right, total = random.Random(99), extract.trained(), 0, 0
-    for _ in range(100):
-        root, blocks = extract.parse(extract.labelled_page(rng))
-        order = extract.post_order(root)
-        root.label = any(c.label and extract.edge_kind(c) == "plain" for c in root.children)
-        for n in reversed(order):
-            if n.label is None:
-                n.label = bool(n.parent and n.parent.label)
-        marginal = model.marginals(root)
-        right += sum((marginal[id(n)] >= 0.5) == n.label for n, _ in blocks)
-        total += len(blocks)
-    assert right / total > 0.98
-
-
-def test_extraction(spark):
-    page = '<body><nav><a href="#">Home</a></nav><article><h1>T &amp; U</h1><p>One  two.<p>Three&nbsp;four. <b>Bold</b> text.</p><script>x="</p>"</script></article><div class="comments"><p>I liked it. Very much.</p></div><footer>&copy; me</footer></body>'
-    rows = extract.extract(spark.createDataFrame([(1, "u", page), (2, None, None), (3, "v", "")], "page_id long, url string, html string")).collect()
-    assert [r["text"] for r in rows] == ["T & U\n\nOne two.\n\nThree four. Bold text.", "", ""]
-
-
 def test_empty_tables(spark):
     none = docs_of(spark, []).limit(0)
     bench = spark.createDataFrame([], "item_id long, text string")
