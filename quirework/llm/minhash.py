@@ -5,19 +5,24 @@ signature: the first scatters the shingles, and coordinate number i is the least
 circularly by i. Bands of coordinates name buckets; a pair that meets in a bucket is confirmed on the full sets, by
 exact integer arithmetic; links join to components.
 
-Buckets of any size don't become pairs. Documents with equal sets are one node from the start. Shingles that no other
-candidate has can't be in an intersection: with their number, a bound on each pair's similarity rules most pairs out,
-exactly. In each bucket the rest is first tried with one chosen member, over a few rounds with other choices, and only
-between nodes that aren't yet connected; where copies share an original, that joins them. What is then still in
-different components, but connected by buckets, is compared whole: its nodes are dealt into blocks, every two blocks
-are one group, and a group counts all its intersections by matrix products and returns only the links that join
-components. So no link is lost to a choice, no pair is written that isn't tried, and no group grows with the data.
-
-A pair of similarity 0.8 misses all 32 bands of 4 with a probability of 5e-8.
+Documents with equal sets, told by 128 bits of hash, are one node from the start. Buckets of any size don't become pairs.
+Shingles that no other candidate has can't be in an intersection: with their number, a bound on each pair's similarity
+rules most pairs out, exactly. In each bucket the rest is first tried with one chosen member, over a few rounds with
+other choices, and only between nodes that aren't yet connected; where copies share an original, that joins them. The
+nodes of buckets that are still open then meet by their rarest shingles: of two linked sets, each has one of those
+shingles among as many as it may lack of the other, and one more. Pairs that share such a shingle, differ in label and
+aren't of too different size are confirmed; where very many nodes share one, they are dealt into blocks of bounded
+number and bytes, every two blocks are one group, and a group counts all its intersections by matrix products and
+returns only the links that join components. So no link between nodes that meet in a bucket is lost to a choice, no
+group grows with the data, and work that is quadratic is left only to rare shingles that a crowd shares after all.
+
+A pair of similarity 0.8 misses all 32 bands of 4 with a probability of 5e-8, if coordinates are independent; a test
+compares the misses of the circulant ones with that formula where they are frequent enough to count.
 
 Defined results: a text without words (null, empty) is linked with nothing. With fewer words than a shingle the whole
-sequence is the one shingle. Repeated rows are equal sets, each with a row of its own. Null ids are linked like others
-but lose to any number as the component's id. An empty table gives no rows. Further columns are not looked at.
+sequence is the one shingle. A text of any length is one set, worked on in blocks of shingles. Repeated rows are equal
+sets, each with a row of its own. Null ids are linked like others but lose to any number as the component's id. An empty
+table gives no rows. Further columns are not looked at.
 """
 
 from __future__ import annotations
@@ -33,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import materialised
 from .graph import components
-from .substring import ROWS, gram_hashes, word_hashes
+from .substring import ROWS, gram_hashes, packed, word_hashes
 
 BANDS, PER_BAND = 32, 4
 COORDINATES = BANDS * PER_BAND
@@ -41,8 +46,8 @@ COORDINATES = BANDS * PER_BAND
 BLOCK = 1024
 #: Rounds of trying pairs with one member of a bucket.
 ROUNDS = 2
-#: Nodes of a block, and shingles of a matrix product.
-BLOCK_NODES, COLUMNS = 512, 4096
+#: Nodes that share a rare shingle from which they are compared in blocks; nodes and compressed bytes of a block; shingles of a matrix product.
+PAIRED, BLOCK_NODES, BLOCK_BYTES, COLUMNS = 64, 512, 4 << 20, 4096
 
 
 def scattered(x: np.ndarray, a: int, b: int) -> np.ndarray:
@@ -79,52 +84,49 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(rows[i].tobytes(), seed=i) for i in range(BANDS)], np.uint64).view(np.int64)
 
 
+def identity(s: np.ndarray) -> tuple[int, int]:
+    """128 bits of hash of a set, as two signed longs."""
+    x = xxhash.xxh3_128_intdigest(s.tobytes())
+    return (x >> 64) - (1 << 63), (x & ((1 << 64) - 1)) - (1 << 63)
+
+
 def signed(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n (shingles), node (hash of the set; null if empty), bands (array of long)."""
+    """doc_id, n (shingles), h1, h2 (hash of the set; null if empty), bands (array of long)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS):
                 part = batch.slice(start, ROWS)
-                n, node, bands = [], [], []
+                n, sets, bands = [], [], []
                 for text in part.column(1):
                     s = shingles(text.as_py() or b"", k)
                     n.append(len(s))
-                    if len(s):
-                        node.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63))
-                        bands.append(band_keys(signature(s)))
-                    else:
-                        node.append(None)
-                        bands.append(None)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n", "node", "bands"])
+                    sets.append(identity(s) if len(s) else (None, None))
+                    bands.append(band_keys(signature(s)) if len(s) else None)
+                h1, h2 = (pa.array(h, pa.int64()) for h in zip(*sets, strict=True))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), h1, h2, pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n", "h1", "h2", "bands"])
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, n long, node long, bands array<long>")
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, n long, h1 long, h2 long, bands array<long>")
 
 
 def packed_sets(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
-    """node, z (its text, compressed) for the wanted nodes (doc_id, node: one document of each node)."""
+    """node, n, z (its text, compressed) for the wanted nodes (doc_id, node, n, h1, h2: one document of each node)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = zstandard.ZstdCompressor(level=3)
+        d = zstandard.ZstdDecompressor()
         for batch in batches:
-            for start in range(0, batch.num_rows, ROWS):
-                part = batch.slice(start, ROWS)
-                nodes, z = [], []
-                for node, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                    raw = text.as_py() or b""
-                    s = shingles(raw, k)
-                    # Of rows that share a doc_id, only those with the node's own set count.
-                    if len(s) and xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) == node:
-                        nodes.append(node)
-                        z.append(c.compress(raw))
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(z, pa.binary())], names=["node", "z"])
-
-    source = docs.select(F.struct("doc_id").alias("row"), F.col("text").cast("binary").alias("text"))
-    want = wanted.select(F.struct("doc_id").alias("row"), "node")
+            # Of rows that share a doc_id, only those with the node's own set count.
+            found = [identity(shingles(d.decompress(z.as_py()), k)) for z in batch.column("z")]
+            own = zip(batch.column("h1").to_pylist(), batch.column("h2").to_pylist(), strict=True)
+            keep = pa.array([i for i, h in enumerate(own) if h == found[i]], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(keep) for c in ("node", "n", "z")], names=["node", "n", "z"])
+
+    source = packed(docs.select(F.struct("doc_id").alias("row"), "text"))
+    want = wanted.select(F.struct("doc_id").alias("row"), "node", "n", "h1", "h2")
     # The wanted grow with the corpus: sorted and merged at every size, never broadcast.
-    found = source.join(want.hint("merge"), "row").select("node", "text").mapInArrow(run, "node long, z binary")
-    return found.groupBy("node").agg(F.first("z").alias("z"))
+    found = source.join(want.hint("merge"), "row").select("node", "n", "h1", "h2", "z").mapInArrow(run, "node long, n long, z binary")
+    return found.groupBy("node").agg(F.first("n").alias("n"), F.first("z").alias("z"))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
@@ -149,9 +151,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFr
     return both.mapInArrow(run, "a long, b long")
 
 
-
-def shared_counts(sets: DataFrame, k: int) -> DataFrame:
-    """node, n (its shingles), c (those that another node has too). sets: node, z."""
+def shingle_rows(sets: DataFrame, k: int) -> DataFrame:
+    """node, g: a row for each shingle of each set. sets: node, z."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d = zstandard.ZstdDecompressor()
@@ -162,12 +163,30 @@ def shared_counts(sets: DataFrame, k: int) -> DataFrame:
                 nodes = part.column(0).take(pa.array(np.repeat(np.arange(len(found)), [len(s) for s in found])))
                 yield pa.RecordBatch.from_arrays([nodes, pa.array(np.concatenate(found).view(np.int64))], names=["node", "g"])
 
-    rows = sets.select("node", "z").mapInArrow(run, "node long, g long")
-    seen = rows.groupBy("g").agg(F.min("node").alias("node"), F.count("*").alias("holders"))
+    return sets.select("node", "z").mapInArrow(run, "node long, g long")
+
+
+def shared_counts(sets: DataFrame, k: int) -> DataFrame:
+    """node, n (its shingles), c (those that another node has too). sets: node, n, z."""
+    seen = shingle_rows(sets, k).groupBy("g").agg(F.min("node").alias("node"), F.count("*").alias("holders"))
     alone = seen.filter("holders = 1").groupBy("node").agg(F.count("*").alias("alone"))
     return sets.select("node", "n").join(alone, "node", "left").select("node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("c"))
 
 
+def rare_shingles(sets: DataFrame, k: int, percent: int) -> DataFrame:
+    """node, g: the shingles of which two linked sets share one at least. sets: node, n, z.
+
+    A set of n shingles may lack n - ceil(percent * n / 100) in a linked one, so one more of its shingles, in one order
+    for all sets, are enough; those that few sets have come first, and those that no other has need no row.
+    """
+    rows = materialised(shingle_rows(sets, k), "shingles")
+    holders = rows.groupBy("g").agg(F.count("*").alias("holders")).filter("holders > 1")
+    ranked = rows.join(holders, "g").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("holders", "g"))).alias("shared"))
+    room = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("shared"))).cast("int")
+    first = F.when(room > 0, F.slice("shared", F.lit(1), F.greatest(room, F.lit(1)))).otherwise(F.array().cast("array<struct<holders:bigint,g:bigint>>"))
+    return sets.select("node", "n").join(ranked, "node").select("node", F.explode(first).alias("x")).select("node", F.col("x.g").alias("g"))
+
+
 def links_of_block(found: list[np.ndarray], first: np.ndarray, second: np.ndarray, labels: list[int], percent: int) -> list[tuple[int, int]]:
     """Index pairs, one from first and one from second, that are linked and join different labels; none that earlier ones make needless."""
     sizes = np.array([len(s) for s in found], np.int64)
@@ -204,13 +223,14 @@ def links_of_block(found: list[np.ndarray], first: np.ndarray, second: np.ndarra
     return out
 
 
-def links_by_blocks(rest: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
-    """a, b: links between nodes of one cluster with different labels, enough of them to join all labels that are linked. rest: node, label, cluster."""
-    sizes = rest.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK_NODES).cast("int").alias("blocks"))
-    dealt = rest.join(sizes, "cluster").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # A node goes to one group with each block of its cluster.
-    met = dealt.select("cluster", "node", "label", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).join(sets.select("node", "z"), "node")
-    grouped = met.select("cluster", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "label", "z").groupBy("cluster", "x", "y")
+def links_by_blocks(members: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
+    """a, b: links between nodes of one group with different labels, enough of them to join all labels that are linked. members: node, label, key (the group). sets: node, z."""
+    own = members.join(sets.select("node", F.octet_length("z").alias("bytes")), "node")
+    sizes = own.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    dealt = own.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    # A node goes to one group with each block of its crowd.
+    met = dealt.select("key", "node", "label", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).join(sets.select("node", "z"), "node")
+    grouped = met.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "label", "z").groupBy("key", "x", "y")
 
     def run(table: pa.Table) -> pa.Table:
         d = zstandard.ZstdDecompressor()
@@ -224,15 +244,31 @@ def links_by_blocks(rest: DataFrame, sets: DataFrame, k: int, percent: int) -> D
     return grouped.applyInArrow(run, "a long, b long")
 
 
+def links_by_rare_shingles(rest: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
+    """a, b: links between nodes of rest (node, label) with different labels, enough of them to join all labels that are linked."""
+    own = materialised(sets.join(rest, "node"), "rest_sets")
+    rows = materialised(rare_shingles(own, k, percent).join(own.select("node", "label", "n"), "node"), "rare")
+    # Shingles that the same nodes share are one group, and those of one label none.
+    groups = rows.groupBy("g").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who"), F.sum(F.xxhash64(F.lit(1), "node").cast("decimal(38,0)")).alias("too"))
+    groups = materialised(groups.filter("low < high").groupBy("size", "who", "too").agg(F.min("g").alias("g")).select("g", "size"), "groups")
+    few = rows.join(groups.filter(F.col("size") <= PAIRED).select("g"), "g")
+    a, b = (few.select("g", F.col("node").alias(c), F.col("label").alias(f"label_{c}"), F.col("n").alias(f"n_{c}")) for c in "ab")
+    fits = (F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    pairs = materialised(a.join(b, "g").filter(fits).select("a", "b").distinct(), "rare_pairs")
+    many = rows.join(groups.filter(F.col("size") > PAIRED).select("g"), "g").select("node", "label", F.col("g").alias("key"))
+    return confirmed(pairs, own, k, percent).union(links_by_blocks(many, own, k, percent))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id that links reach), kept: a row for each row of docs (doc_id, text)."""
     seen = materialised(signed(docs, k), "signatures")
-    nodes = materialised(seen.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes")
+    equal = seen.filter("h1 is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    nodes = materialised(equal.withColumn("node", F.monotonically_increasing_id()), "nodes")
     dealt = nodes.select("node", F.explode("bands").alias("key"))
     shared = materialised(dealt.groupBy("key").count().filter("count > 1").select("key"), "buckets")
     met = materialised(dealt.join(shared, "key"), "met")
-    involved = materialised(nodes.join(met.select("node").distinct(), "node", "left_semi").select("doc_id", "node", "n"), "involved")
-    sets = materialised(packed_sets(docs, k, involved).join(involved.select("node", "n"), "node"), "sets")
+    involved = nodes.join(met.select("node").distinct(), "node", "left_semi").select("doc_id", "node", "n", "h1", "h2")
+    sets = materialised(packed_sets(docs, k, involved), "sets")
     # A node of which too little is shared with any other is linked with none.
     able = materialised(shared_counts(sets, k).filter(100 * F.col("c") >= percent * F.col("n")), "able")
     members = materialised(met.join(able, "node"), "members")
@@ -252,9 +288,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
             pairs = open_.filter((F.col("label") != F.col("head.label")) & fits("n", "c", "head.n", "head.c")).select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b"))
             links = confirmed(materialised(pairs.distinct(), "pairs"), sets, k, percent)
         else:
-            clusters = materialised(components(open_.select(F.col("node").alias("a"), F.col("head.node").alias("b"))), "clusters")
-            rest = materialised(clusters.join(labels, "node").select("node", "label", F.col("root").alias("cluster")), "rest")
-            links = links_by_blocks(rest, sets, k, percent)
+            rest = materialised(open_.select("node", "label").distinct(), "rest")
+            links = links_by_rare_shingles(rest, sets, k, percent)
         # Links between labels join components of earlier rounds.
         la, lb = labels.select(F.col("node").alias("a"), F.col("label").alias("la")), labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
         edges = links.join(la, "a").join(lb, "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
@@ -262,8 +297,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         labels = materialised(labels.join(roots.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("root", "label").alias("label")), "labels")
 
     # Only nodes with a link or with several rows have another document to point to.
-    ids = nodes.select("node", "doc_id", "rows").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "doc_id", "rows")
+    ids = nodes.select("node", "doc_id", "rows", "h1", "h2").join(labels, "node", "left").select("h1", "h2", F.coalesce("label", "node").alias("label"), "doc_id", "rows")
     least = materialised(ids.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.sum("rows").alias("rows")).filter("rows > 1").drop("rows"), "components")
-    of_node = materialised(ids.join(least, "label").select("node", "component_id"), "classes")
-    out = seen.select("doc_id", F.col("n").alias("n_shingles"), "node").join(of_node, "node", "left")
+    of_set = materialised(ids.join(least, "label").select("h1", "h2", "component_id"), "classes")
+    out = seen.select("doc_id", F.col("n").alias("n_shingles"), "h1", "h2").join(of_set, ["h1", "h2"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -142,10 +142,11 @@ def brute_components(texts, k):
     return sets, root
 
 
-@pytest.mark.parametrize("rounds", [2, 0])
-def test_minhash(spark, monkeypatch, rounds):
-    """Without rounds all links come from the blocks, here of four nodes."""
+@pytest.mark.parametrize("rounds, paired", [(2, 64), (0, 64), (0, 2)])
+def test_minhash(spark, monkeypatch, rounds, paired):
+    """Without rounds all links come from rare shingles, by pairs or by blocks of four nodes."""
     monkeypatch.setattr(minhash, "ROUNDS", rounds)
+    monkeypatch.setattr(minhash, "PAIRED", paired)
     monkeypatch.setattr(minhash, "BLOCK_NODES", 4)
     texts = corpus(2, 40)
     rng = random.Random(3)
@@ -158,6 +159,19 @@ def test_minhash(spark, monkeypatch, rounds):
         assert (got[i]["n_shingles"], got[i]["component_id"], got[i]["kept"]) == (len(sets[i]), root[i], root[i] == i)
 
 
+def test_circulant_misses():
+    """Pairs that share no band are as rare as with independent coordinates, for small and large sets; at 0.8 none is found."""
+    rng = np.random.default_rng(5)
+    for n, percent, pairs in ((10, 50, 1500), (100, 50, 1500), (1000, 50, 300), (100, 80, 500), (20, 80, 500)):
+        both, missed = round(2 * n * percent / (100 + percent)), 0
+        for _ in range(pairs):
+            x = rng.integers(0, 1 << 63, 2 * n - both, np.uint64)
+            one, two = (minhash.band_keys(minhash.signature(s)) for s in (x[:n], x[n - both :]))
+            missed += not (one == two).any()
+        want = pairs * (1 - (both / (2 * n - both)) ** minhash.PER_BAND) ** minhash.BANDS
+        assert abs(missed - want) <= 4 * want**0.5 + 1, (n, percent, missed, want)
+
+
 def test_substrings(spark):
     texts = corpus(4) + [" ".join(f"v{i}" for i in range(60)), "q " * 7 + " ".join(f"v{i}" for i in range(10, 45)) + " z"]
     seen, want = set(), {}
