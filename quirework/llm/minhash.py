@@ -174,7 +174,7 @@ def shared_counts(sets: DataFrame, k: int) -> DataFrame:
 
 
 def rare_shingles(sets: DataFrame, k: int, percent: int) -> DataFrame:
-    """node, g: the shingles of which two linked sets share one at least. sets: node, n, z.
+    """node, g, at: the shingles of which two linked sets share one at least, and how many of the set's own come before it. sets: node, n, z.
 
     A set of n shingles may lack n - ceil(percent * n / 100) in a linked one, so one more of its shingles, in one order
     for all sets, are enough; those that few sets have come first, and those that no other has need no row.
@@ -182,9 +182,10 @@ def rare_shingles(sets: DataFrame, k: int, percent: int) -> DataFrame:
     rows = materialised(shingle_rows(sets, k), "shingles")
     holders = rows.groupBy("g").agg(F.count("*").alias("holders")).filter("holders > 1")
     ranked = rows.join(holders, "g").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("holders", "g"))).alias("shared"))
-    room = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("shared"))).cast("int")
+    alone = F.col("n") - F.size("shared")
+    room = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone).cast("int")
     first = F.when(room > 0, F.slice("shared", F.lit(1), F.greatest(room, F.lit(1)))).otherwise(F.array().cast("array<struct<holders:bigint,g:bigint>>"))
-    return sets.select("node", "n").join(ranked, "node").select("node", F.explode(first).alias("x")).select("node", F.col("x.g").alias("g"))
+    return sets.select("node", "n").join(ranked, "node").select("node", alone.alias("alone"), F.posexplode(first).alias("i", "x")).select("node", F.col("x.g").alias("g"), (F.col("alone") + F.col("i")).alias("at"))
 
 
 def links_of_block(found: list[np.ndarray], first: np.ndarray, second: np.ndarray, labels: list[int], percent: int) -> list[tuple[int, int]]:
@@ -252,8 +253,9 @@ def links_by_rare_shingles(rest: DataFrame, sets: DataFrame, k: int, percent: in
     groups = rows.groupBy("g").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who"), F.sum(F.xxhash64(F.lit(1), "node").cast("decimal(38,0)")).alias("too"))
     groups = materialised(groups.filter("low < high").groupBy("size", "who", "too").agg(F.min("g").alias("g")).select("g", "size"), "groups")
     few = rows.join(groups.filter(F.col("size") <= PAIRED).select("g"), "g")
-    a, b = (few.select("g", F.col("node").alias(c), F.col("label").alias(f"label_{c}"), F.col("n").alias(f"n_{c}")) for c in "ab")
-    fits = (F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    a, b = (few.select("g", F.col("node").alias(c), F.col("label").alias(f"label_{c}"), F.col("n").alias(f"n_{c}"), (F.col("n") - F.col("at")).alias(f"left_{c}")) for c in "ab")
+    # Of the shingles that two sets share one comes first, and all the others stand behind it in both.
+    fits = (F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & ((100 + percent) * F.least("left_a", "left_b") >= percent * (F.col("n_a") + F.col("n_b")))
     pairs = materialised(a.join(b, "g").filter(fits).select("a", "b").distinct(), "rare_pairs")
     many = rows.join(groups.filter(F.col("size") > PAIRED).select("g"), "g").select("node", "label", F.col("g").alias("key"))
     return confirmed(pairs, own, k, percent).union(links_by_blocks(many, own, k, percent))
