@@ -10,7 +10,8 @@ BLANK = r"[\p{IsWhite_Space}\x1C-\x1F]"
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{BLANK}+|{BLANK}+$", "")
+    """Without white space at either end; a run inside is tried once, however long it is."""
+    return F.regexp_replace(text, f"^{BLANK}++|(?<!{BLANK}){BLANK}++$", "")
 
 
 def is_blank(text: Column) -> Column:

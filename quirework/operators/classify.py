@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import strip, word_count
 from .layout import body_fonts
 
-EQUATION = "EquationHeuristic: retained without translation; inspect classification"
+EQUATION = "EquationHeuristic: looks like an equation and stays untranslated"
 # The words that make a heading, and the forms of captions and numbered headings.
 HEADINGS = r"(?iu)^(?:\d+(?:\.\d+)*\.?\s+)?(?:abstract|introduction|background|related work|methods?|methodology|experiments?|results?|discussion|conclusions?|references|bibliography|acknowledg(?:e)?ments?|appendix)(?:\s.*)?$"
 CAPTION = r"(?iu)^(?:Fig(?:ure)?\.?\s*\d+|Table\s+(?:\d+|[IVXLCDM]+))\b"

@@ -8,7 +8,9 @@ translation_hash.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import safe_ratio, text_hash, translation_hash
@@ -17,10 +19,18 @@ from ..functions.tokens import scan
 DOC = "document_id"
 
 
+def sized(value: Column) -> Column:
+    """Text behind its length, so that joined values can't run into each other."""
+    text = F.coalesce(value.cast("string"), F.lit(""))
+    return F.concat(F.length(text).cast("string"), F.lit(":"), text)
+
+
 def fingerprint(blocks: DataFrame, *box: str) -> DataFrame:
-    """document_id, fingerprint: of ids, pages, boxes and texts, whatever the order and the types."""
-    rows = F.array_sort(F.collect_list(F.struct("block_id", "page", F.array(*box).alias("bbox") if box else F.lit(None).alias("bbox"), "text")))
-    return blocks.groupBy(DOC).agg(F.sha2(F.to_json(rows).cast("binary"), 256).alias("fingerprint"))
+    """document_id, fingerprint: of ids, pages, boxes (to thousandths) and texts in the order of ids, whatever the order and the types of the blocks."""
+    box_text = [sized(F.format_number(F.col(c), "0.000")) for c in box]
+    line = F.concat(sized(F.col("block_id")), sized(F.col("page")), *box_text, sized(F.col("text")))
+    rows = F.array_sort(F.collect_list(F.struct("block_id", line.alias("line"))))
+    return blocks.groupBy(DOC).agg(F.sha2(F.array_join(F.transform(rows, lambda r: r["line"]), "\n").cast("binary"), 256).alias("fingerprint"))
 
 
 def draft_labels(blocks: DataFrame) -> DataFrame:
@@ -38,11 +48,11 @@ def label_errors(blocks: DataFrame, block_labels: DataFrame) -> DataFrame:
     stored = F.coalesce("translation_hash", F.lit(""))
     off = F.exists("expected_items", lambda i: (i["end"] > F.length("text")) | (F.substring("text", i["start"] + 1, i["end"] - i["start"]) != i["value"]))
     errors = F.array_compact(F.array(
-        F.when(~F.coalesce(both, F.lit(False)), F.lit("block ids differ")),
-        F.when(both & (F.col("source_text_hash") != text_hash(F.col("text"))), F.lit("source text changed")),
-        F.when(both & F.coalesce(off, F.lit(False)), F.lit("protected span does not match source text")),
-        F.when(reviewed & (stored == ""), F.lit("reviewed translation has no translation hash")),
-        F.when(reviewed & (stored != "") & (stored != translation_hash(F.col("translation"))), F.lit("translation changed after review")),
+        F.when(~F.coalesce(both, F.lit(False)), F.lit("label and prediction are not of the same blocks")),
+        F.when(both & (F.col("source_text_hash") != text_hash(F.col("text"))), F.lit("the source text is another")),
+        F.when(both & F.coalesce(off, F.lit(False)), F.lit("a protected span is not in the text")),
+        F.when(reviewed & (stored == ""), F.lit("a review without the hash of its translation")),
+        F.when(reviewed & (stored != "") & (stored != translation_hash(F.col("translation"))), F.lit("the translation is another than the one reviewed")),
     ))
     return rows.select(DOC, "block_id", F.explode(errors).alias("error"))
 
@@ -52,13 +62,67 @@ def page_errors(blocks: DataFrame, page_labels: DataFrame) -> DataFrame:
     pred = blocks.groupBy(DOC, "page").agg(F.array_sort(F.collect_set("block_id")).alias("ids"))
     rows = pred.join(page_labels.select(DOC, "page", "expected_order"), [DOC, "page"], "full_outer")
     errors = F.array_compact(F.array(
-        F.when(F.col("ids").isNull() | F.col("expected_order").isNull(), F.lit("page numbers differ")),
-        F.when(F.size("expected_order") != F.size(F.array_distinct("expected_order")), F.lit("expected order contains duplicates")),
-        F.when(F.array_sort(F.array_distinct("expected_order")) != F.col("ids"), F.lit("expected order must contain every page block once")),
+        F.when(F.col("ids").isNull() | F.col("expected_order").isNull(), F.lit("label and prediction are not of the same pages")),
+        F.when(F.size("expected_order") != F.size(F.array_distinct("expected_order")), F.lit("a block stands twice in the expected order")),
+        F.when(F.array_sort(F.array_distinct("expected_order")) != F.col("ids"), F.lit("the expected order has other blocks than the page")),
     ))
     return rows.select(DOC, "page", F.explode(errors).alias("error"))
 
 
+def document_errors(blocks: DataFrame, annotations: DataFrame, *box: str) -> DataFrame:
+    """document_id, error of annotated documents without blocks, and of those whose blocks have another fingerprint. annotations: document_id, source_fingerprint."""
+    rows = annotations.select(DOC, "source_fingerprint").join(fingerprint(blocks, *box), DOC, "left")
+    wrong = F.when(F.col("fingerprint").isNull(), "no document of this id").when(~F.col("source_fingerprint").eqNullSafe(F.col("fingerprint")), "segmentation or text is another than the one annotated")
+    return rows.select(DOC, wrong.alias("error")).filter("error is not null")
+
+
+def workspace_errors(blocks: DataFrame, annotations: DataFrame, page_labels: DataFrame, block_labels: DataFrame, *box: str) -> DataFrame:
+    """document_id, place (a block's id, a page, or ''), error: everything wrong with the labels of the annotated documents."""
+    known = annotations.select(DOC).distinct()
+    own = blocks.join(known, DOC, "left_semi")
+    labels, pages = (x.join(known, DOC, "left_semi") for x in (block_labels, page_labels))
+    found = blocks.select(DOC).distinct()
+    there = lambda x: x.join(found, DOC, "left_semi")
+    parts = (
+        document_errors(own, annotations, *box).withColumn("place", F.lit("")),
+        label_errors(own, there(labels)).withColumnRenamed("block_id", "place"),
+        page_errors(own, there(pages)).withColumn("place", F.col("page").cast("string")),
+    )
+    return reduce(DataFrame.unionByName, [p.select(DOC, "place", "error") for p in parts])
+
+
+def summary(name: str, blocks: DataFrame, annotations: DataFrame, page_labels: DataFrame, block_labels: DataFrame, *box: str) -> DataFrame:
+    """One row of all metrics. Documents with any error are left out of all but the count of documents; their errors are warnings, in order. annotations: document_id, source_fingerprint, status."""
+    errors = workspace_errors(blocks, annotations, page_labels, block_labels, *box)
+    good = valid_only(annotations, errors)
+    keep = lambda x: x.join(good.select(DOC), DOC, "left_semi")
+    b, pages, labels = keep(blocks), keep(page_labels), keep(block_labels)
+
+    def named(rows: DataFrame, **names: str) -> DataFrame:
+        return rows.select(*[F.col(old).alias(new) for new, old in names.items()])
+
+    def histogram(rows: DataFrame, key: str, name: str) -> DataFrame:
+        return rows.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, "n")))).alias(name))
+
+    # A line for each document with errors: the report is as long as its errors are many.
+    lines = errors.select(F.concat_ws(": ", F.col(DOC).cast("string"), F.when(F.col("place") != "", F.col("place")), "error").alias("line"))
+    rows = [
+        annotations.agg(F.lit(name).alias("dataset_name"), F.count("*").alias("documents")),
+        good.agg(F.count_if(F.col("status") == "complete").alias("completed_documents")),
+        named(order_pairs(b, pages), pages_reviewed="pages", reading_order_pair_accuracy="accuracy"),
+        named(segmentation(pages), segmentation_pages_reviewed="reviewed", segmentation_issue_page_rate="rate"),
+        histogram(issue_histogram(pages), "issue", "segmentation_issues"),
+        named(type_accuracy(b, labels), block_types_reviewed="reviewed", block_type_accuracy="accuracy"),
+        named(span_scores(b, labels), guard_precision="precision", guard_recall="recall", guard_f1="f1"),
+        named(verdict_rates(labels), translations_reviewed="reviewed", translation_pass_rate="passed_rate", translation_acceptable_rate="acceptable_rate", translation_major_error_rate="major_rate"),
+        histogram(tag_histogram(labels), "tag", "translation_error_tags"),
+        lines.agg(F.sort_array(F.collect_list("line")).alias("warnings")),
+    ]
+    # One row each, with columns of its own: put together by what isn't null.
+    every = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), rows)
+    return every.agg(*[F.any_value(c, ignoreNulls=True).alias(c) for c in every.columns])
+
+
 def valid_only(rows: DataFrame, *errors: DataFrame) -> DataFrame:
     """Without the documents that any error names."""
     for e in errors:
@@ -97,7 +161,12 @@ def type_accuracy(blocks: DataFrame, block_labels: DataFrame) -> DataFrame:
 
 def span_scores(blocks: DataFrame, block_labels: DataFrame) -> DataFrame:
     """One row: predicted, expected, hits, precision, recall, f1 of protected spans, micro-averaged over reviewed blocks; the scanner runs again on their texts."""
-    rows = block_labels.filter("protection_reviewed").join(blocks.select(DOC, "block_id", "text"), [DOC, "block_id"]).withColumn("found", scan("text"))
+    rows = block_labels.filter("protection_reviewed").join(blocks.select(DOC, "block_id", "text"), [DOC, "block_id"])
+    return span_sums(rows.select(scan("text").alias("found"), "expected_items"))
+
+
+def span_sums(rows: DataFrame) -> DataFrame:
+    """span_scores of rows with found and expected_items."""
     same = lambda c: F.array_distinct(F.transform(c, lambda t: F.struct(t["kind"].alias("kind"), t["value"].alias("value"), t["start"].alias("start"), t["end"].alias("end"))))
     p, e = same(F.col("found")), same(F.col("expected_items"))
     sums = rows.agg(F.coalesce(F.sum(F.size(p)), F.lit(0)).alias("predicted"), F.coalesce(F.sum(F.size(e)), F.lit(0)).alias("expected"), F.coalesce(F.sum(F.size(F.array_intersect(p, e))), F.lit(0)).alias("hits"))

@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-FEW = "ReadingOrderUncertain: insufficient evidence for two columns"
-OVERLAP = "ReadingOrderUncertain: spanning block overlaps column content"
-PAGE = "Reading order is uncertain; inspect block coordinates"
+FEW = "ReadingOrderUncertain: blocks stand side by side, but too few for columns"
+OVERLAP = "ReadingOrderUncertain: a wide block and a column share a height"
+PAGE = "ReadingOrderUncertain: compare the blocks with the page"
 PAGE_KEY = ("document_id", "page")
 
 

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, strip
 
-ROTATED = "RotatedText: reading order requires review"
-OCR_DOCUMENT = "Some pages require OCR. Native-only mode processes their available text."
-OCR_PAGE = "RequiresOCR: missing, sparse or unusable native text layer"
+ROTATED = "RotatedText: its place among the blocks is a guess"
+OCR_DOCUMENT = "RequiresOCR: some pages hold too little text; what they have is used"
+OCR_PAGE = "RequiresOCR: too little text to read"
 
 
 def spans_to_lines(spans: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ then cached, then called. Results are written before they are checked, so a retr
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_blank
 from ..functions.tokens import protect, restore
-from ..schemas import RETAINED_TYPES
+from ..schemas import CHECK, EXPLANATION, RETAINED_TYPES
 from .verify import check, demo_check, failed_check, flag_unchanged
 
 DEMO_PREFIX = "[offline demo: the source follows, not a translation]\n"
@@ -62,10 +63,17 @@ def resumable(candidates: DataFrame, retry: str) -> DataFrame:
     return rows.filter(whole & (F.lit(retry == "failed") | F.coalesce("old_check.passed", F.lit(False)))).drop("_r")
 
 
+def taken_over(rows: DataFrame) -> DataFrame:
+    """Resumable rows with the old items, protected text, raw translation and explanation, checked again against the text of now."""
+    old = {c: F.col(f"old_{c}") for c in ("items", "protected_text", "explanation") if f"old_{c}" in rows.columns}
+    return apply_raw(rows.withColumns(old | {"raw": F.col("old_raw_translation")}))
+
+
 def cache_lookup(requests: DataFrame, cache: DataFrame, schema_version: int = 1) -> DataFrame:
-    """Adds cached: the stored raw translation for the request's key; null if there is none, its version is another or it is blank."""
+    """Adds cached: the raw translation stored last for the request's key; null if there is none, its version is another or it is blank. cache: key, schema_version, raw_translation and, if it has it, written (a time; entries without one are the oldest)."""
     usable = cache.filter((F.col("schema_version") == schema_version) & ~is_blank(F.col("raw_translation")))
-    newest = usable.groupBy("key").agg(F.max("raw_translation").alias("cached"))
+    written = F.col("written") if "written" in cache.columns else F.lit(None).cast("timestamp")
+    newest = usable.groupBy("key").agg(F.max(F.struct(written.alias("written"), "raw_translation")).alias("last")).select("key", F.col("last.raw_translation").alias("cached"))
     return requests.join(newest, "key", "left")
 
 
@@ -116,51 +124,56 @@ def apply_raw(blocks: DataFrame, demo: bool = False) -> DataFrame:
 
 
 def call_provider(requests: DataFrame, make_client: Callable[[], Callable[[str, str], str]], most_chars: int = 16000) -> DataFrame:
-    """Adds raw, error and fatal. requests: document_id, seq, protected_text, user (the request's JSON).
+    """Adds raw, error, fatal, called and origin. requests: document_id, seq, protected_text, user (the request's JSON) and, if it has it, usable (a cached answer that passes, or null).
 
     make_client runs once in each task and returns complete(text, user). Rows of a document are together and in order,
-    so that nothing is called behind a fatal error. A text over most_chars is an error; it is never cut.
+    so that behind a fatal error nothing is called and no cached answer is used. A text over most_chars is an error; it
+    is never cut.
     """
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema.fields), "raw string", "error string", "fatal boolean", "called boolean"])
+    if "usable" not in requests.columns:
+        requests = requests.withColumn("usable", F.lit(None).cast("string"))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema.fields), "raw string", "error string", "fatal boolean", "called boolean", "origin string"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from .provider import ProviderError
 
-        complete, dead = make_client(), {}
+        complete, ended = make_client(), {}
+
+        def outcome(doc, text: str, user: str, usable: str | None) -> tuple:
+            if doc in ended:
+                return None, f"not asked for, as the provider had refused: {ended[doc]}", False, False, "provider"
+            if usable is not None:
+                return usable, None, False, False, "cache"
+            try:
+                if len(text) > most_chars:
+                    raise ProviderError("the block is longer than a request may be; it isn't cut")
+                return complete(text, user), None, False, True, "provider"
+            except ProviderError as e:
+                if e.fatal:
+                    ended.clear()
+                    ended[doc] = str(e)
+                return None, str(e), e.fatal, True, "provider"
+
         for batch in batches:
-            out = []
-            for doc, text, user in zip(batch["document_id"], batch["protected_text"], batch["user"], strict=True):
-                if doc in dead:
-                    out.append((None, f"Skipped after fatal provider error: {dead[doc]}", False, False))
-                elif len(text) > most_chars:
-                    out.append((None, "the block is longer than a request may be; it isn't cut", False, True))
-                else:
-                    try:
-                        out.append((complete(text, user), None, False, True))
-                    except ProviderError as e:
-                        if e.fatal:
-                            dead = {doc: str(e)}
-                        out.append((None, str(e), e.fatal, True))
-            yield batch.assign(**dict(zip(("raw", "error", "fatal", "called"), zip(*out, strict=True), strict=True))) if out else batch.assign(raw=None, error=None, fatal=None, called=None)
+            out = [outcome(*row) for row in zip(batch["document_id"], batch["protected_text"], batch["user"], batch["usable"], strict=True)]
+            yield batch.assign(**{c: [row[i] for row in out] for i, c in enumerate(("raw", "error", "fatal", "called", "origin"))})
 
     ordered = requests.repartition("document_id").sortWithinPartitions("document_id", "seq")
-    return ordered.mapInPandas(run, schema)
-
-
-def settle(retained_: DataFrame, resumed: DataFrame, cached: DataFrame, called: DataFrame) -> DataFrame:
-    """All blocks with origin, status, translation, check and warnings. called: what call_provider returned, written."""
-    keep = ["document_id", "seq", "block_id", "block_type", "text", "items", "key", "raw", "translation", "check", "warnings", "translation_status", "origin", "called", "fatal"]
-    none = F.lit(None)
-    kept = retained_.withColumns({"raw": F.lit(""), "translation": F.col("text"), "check": none.cast(resumed.schema["check"].dataType), "translation_status": F.lit("retained"), "origin": F.lit("retained"), "called": F.lit(False), "fatal": F.lit(False)})
-    kept = kept.withColumn("warnings", F.array_append("warnings", F.concat(F.lit("RetainedOriginal: "), "block_type", F.lit("; not translated or verified"))))
-    quiet = {"called": F.lit(False), "fatal": F.lit(False)}
-    good = apply_raw(called.filter("error is null")).withColumn("origin", F.lit("provider"))
-    bad = called.filter("error is not null").withColumns({"raw": F.lit(""), "translation": F.lit(""), "translation_status": F.lit("failed"), "origin": F.lit("provider"), "warnings": F.array_append("warnings", F.col("error")), "check": failed_check("TranslationFailed", F.col("error"))})
-    parts = [kept, resumed.withColumns(quiet | {"origin": F.lit("resume")}), cached.withColumns(quiet | {"origin": F.lit("cache")}), good, bad]
-    out = parts[0].select(*keep)
-    for p in parts[1:]:
-        out = out.unionByName(p.select(*keep))
-    return out
+    return ordered.mapInPandas(run, schema).drop("usable")
+
+
+SETTLED = ("document_id", "seq", "block_id", "block_type", "text", "items", "protected_text", "key", "raw", "translation", "check", "warnings", "translation_status", "origin", "called", "fatal", "explanation")
+
+
+def settle(retained_: DataFrame, resumed: DataFrame, called: DataFrame, demo: bool = False) -> DataFrame:
+    """All blocks with SETTLED's columns. resumed: what taken_over returned. called: what call_provider returned, written."""
+    none, quiet = F.lit(None), {"called": F.lit(False), "fatal": F.lit(False)}
+    kept = retained_.withColumns(quiet | {"raw": F.lit(""), "translation": F.col("text"), "check": none.cast(CHECK), "translation_status": F.lit("retained"), "origin": F.lit("retained")})
+    kept = kept.withColumn("warnings", F.array_append("warnings", F.concat(F.lit("RetainedOriginal: a "), "block_type", F.lit(" stays as it is"))))
+    good = apply_raw(called.filter("error is null"), demo)
+    bad = called.filter("error is not null").withColumns({"raw": F.lit(""), "translation": F.lit(""), "translation_status": F.lit("failed"), "warnings": F.array_append("warnings", F.col("error")), "check": failed_check("TranslationFailed", F.col("error"))})
+    parts = [p.withColumns({c: none.cast(kind) for c, kind in (("key", "string"), ("explanation", EXPLANATION)) if c not in p.columns}).select(*SETTLED) for p in (kept, resumed.withColumns(quiet | {"origin": F.lit("resume")}), good, bad)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def demo_raw(protected_text: Column) -> Column:

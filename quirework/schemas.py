@@ -16,13 +16,14 @@ SPAN = f"text string, bbox struct<{BBOX.replace(' double', ':double')}>, font_si
 ITEM = "struct<placeholder:string,kind:string,value:string,start:int,end:int>"
 ERROR = "struct<type:string,source:string,translation:string,message:string>"
 CHECK = f"struct<passed:boolean,risk_score:double,errors:array<{ERROR}>>"
+EXPLANATION = "struct<original:string,translation:string,plain_explanation:string,role_in_paper:string,key_terms:array<struct<term:string,explanation:string>>,warning:string>"
 
 #: The document tree as JSON files hold it; version 0.1 files lack what 0.2 added, which reads as null and gets defaults.
 BLOCK_JSON = (
     "struct<document_id:string,page:int,block_id:string,block_type:string,bbox:array<double>,section:string,source:string,text:string,confidence:double,"
     "lines:array<struct<text:string,bbox:array<double>,spans:array<struct<text:string,bbox:array<double>,font_size:double,font_name:string,flags:int>>,direction:array<double>>>,"
     f"native_block_number:int,protected_items:array<{ITEM}>,protected_text:string,raw_translation:string,translation:string,translation_status:string,translation_origin:string,"
-    f"warnings:array<string>,check:{CHECK},explanation:struct<original:string,translation:string,plain_explanation:string,role_in_paper:string,key_terms:array<struct<term:string,explanation:string>>,warning:string>>"
+    f"warnings:array<string>,check:{CHECK},explanation:{EXPLANATION}>"
 )
 PAGE_JSON = f"struct<page:int,width:double,height:double,requires_ocr:boolean,layout:string,warnings:array<string>,blocks:array<{BLOCK_JSON}>>"
 STATS_JSON = "struct<provider_calls:int,cache_hits:int,resumed_blocks:int,retained_blocks:int,failed_blocks:int>"

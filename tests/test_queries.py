@@ -35,7 +35,7 @@ def test_same_as_sql(spark, db, name):
 
 def test_placeholder_errors_of_clean_rows(spark):
     """All ten classes are there, and the undamaged ones have no error."""
-    rows = {r["c"]: r for r in QUERIES["placeholder_errors_all"](spark, SMALL).collect()}
+    rows = {r["c"]: r for r in QUERIES["placeholder_errors"](spark, SMALL).collect()}
     assert set(rows) == set(range(10)) and all((r["least_risk"] == 0) == (c % 4 == 0) and r["clean_errors"] == 0 for c, r in rows.items())
 
 

@@ -7,7 +7,7 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
-from quirework.functions.tokens import protected, restored, tokens_in
+from quirework.functions.tokens import covered, named_tokens, rule_values, tokens_in, uncovered
 from quirework.operators import context, explain, translate, verify
 from quirework.operators.provider import Client, ProviderError, content_of
 from quirework.sources import config, readers, sinks
@@ -22,17 +22,33 @@ from quirework.sources import config, readers, sinks
 )
 def test_tokens(text, values):
     assert [t["value"] for t in tokens_in(text)] == values
-    p = protected(text)
-    assert restored(p["text"], p["items"]) == {"text": text, "warnings": []}
+    named = named_tokens(text)
+    assert uncovered(covered(text, named), [(t[0], t[2]) for t in named]) == (text, [])
 
 
 def test_damaged_placeholders():
-    p = protected("12 and 12")
-    first = p["items"][0]["placeholder"]
-    assert restored(p["text"].replace(first, ""), p["items"])["warnings"] == [f"MissingPlaceholder: {first}"]
-    doubled = restored(p["text"] + first, p["items"])
-    assert doubled["warnings"] == [f"DuplicatePlaceholder: {first} (2 occurrences)"] and doubled["text"].count(first) == 2
-    assert restored("<APff_NUM_001>", [])["warnings"] == ["UnknownPlaceholder: <APff_NUM_001>"]
+    named = named_tokens("12 and 12")
+    text, values, first = covered("12 and 12", named), [(t[0], t[2]) for t in named], named[0][0]
+    assert uncovered(text.replace(first, ""), values)[1] == [f"MissingPlaceholder: {first}"]
+    doubled, notes = uncovered(text + first, values)
+    assert [n.split(":")[0] for n in notes] == ["DuplicatePlaceholder"] and doubled.count(first) == 2
+    assert uncovered("<APff_NUM_001>", []) == ("<APff_NUM_001>", ["UnknownPlaceholder: <APff_NUM_001>"])
+    assert [n.split(":")[0] for n in uncovered(text, [*values, (first, "x")])[1]] == ["InvalidProtectionMap"]
+    stem = first[3:15]
+    assert named_tokens("12 and 12")[0][0].startswith(f"<AP{stem}_") and named_tokens(f"<AP{stem}_ 5")[0][0] != first
+
+
+def test_rules_on_long_texts(spark):
+    """Runs of a million characters go through Java's engine without a deep stack, and digits of all scripts count."""
+    texts = ["1," + "234," * 2_000 + "5", "[" + "1, " * 20_000 + "2]", "[1" + " " * 20_000 + "x", "٣٤ mm", "−.5% and 1,234.5 kHz", "12_ x1 1e5"]
+    found = spark.createDataFrame([(t,) for t in texts], "t string").select(*[c.alias(n) for n, c in rule_values(F.col("t")).items()]).collect()
+    assert len(found[1]["CitationMismatch"][0]) > 40_000 and found[2]["NumberMismatch"] == ["1"] and found[3]["NumberMismatch"] == ["٣٤"] and found[3]["QuantityMismatch"] == ["٣٤mm"]
+    assert found[4]["PercentageMismatch"] == ["−.5%"] and found[4]["QuantityMismatch"] == ["1,234.5kHz"] and found[5]["NumberMismatch"] == ["1e5"]
+
+
+def test_counts_json(spark):
+    rows = spark.createDataFrame([(["a", "a", "b"],), ([],), (["x"],)], "v array<string>").select(verify.counts_json(F.col("v")).alias("j")).collect()
+    assert [json.loads(r["j"]) for r in rows] == [{"a": 2, "b": 1}, {}, {"x": 1}]
 
 
 def test_check_pairs(spark):
@@ -57,33 +73,15 @@ def test_resume_rules():
             translate.validate_previous(new, old, retry)
 
 
-def test_two_runs(spark, tmp_path):
-    """The second run makes no call: all comes from the cache; a fatal error ends a document's calls."""
-    blocks = spark.createDataFrame([("d", i, f"b{i}", "paragraph", f"value {i} mm", []) for i in range(4)], "document_id string, seq long, block_id string, block_type string, text string, warnings array<string>")
-    asked = translate.protected(blocks).withColumn("key", F.sha2("protected_text", 256)).withColumn("user", F.col("protected_text"))
-    called = translate.call_provider(asked, lambda: lambda text, user: "→ " + text)
-    done = translate.apply_raw(called).withColumn("origin", F.lit("provider"))
-    sinks.write_cache(translate.admitted(done), str(tmp_path / "cache"))
-    again = translate.cache_lookup(asked, spark.read.parquet(str(tmp_path / "cache")))
-    assert again.filter("cached is not null").count() == 4
-
-    def dying():
-        def complete(text, user):
-            raise ProviderError("no", fatal=True)
-
-        return complete
-
-    assert [r["called"] for r in translate.call_provider(asked, dying).orderBy("seq").collect()] == [True, False, False, False]
-
-
 def test_provider_answers():
     good = {"choices": [{"message": {"content": " ok "}, "finish_reason": "stop"}]}
     assert content_of(json.dumps(good).encode()) == "ok"
-    for bad in ({}, {"choices": []}, {"choices": [{"message": {"content": ""}}]}, {"choices": [{"message": {"content": "x"}, "finish_reason": "length"}]}):
+    for bad in ([], None, {"choices": {}}, {"choices": [1]}, {"choices": [{"message": {"content": 5}}]}, {}, {"choices": []}, {"choices": [{"message": {"content": ""}}]}, {"choices": [{"message": {"content": "x"}, "finish_reason": "length"}]}):
         with pytest.raises(ProviderError):
             content_of(json.dumps(bad).encode())
-    with pytest.raises(ValueError):
-        Client("http://u:p@host", "m", "k")
+    for url, more in (("http://u:p@host", {}), ("http://:p@host", {}), ("ftp://host", {}), ("http://host?x=1", {}), ("http://host", {"timeout": float("nan")}), ("http://host", {"retries": 6})):
+        with pytest.raises(ValueError):
+            Client(url, "m", "k", **more)
     assert "secret" not in repr(Client("http://host", "m", "secret"))
 
 
@@ -130,12 +128,19 @@ def test_sources(spark, tmp_path):
     assert (row["x1"], row["translation_status"], row["translation_origin"]) == (2.0, "pending", "none")
     with pytest.raises(ValueError):
         config.inside(str(tmp_path), "../x")
-    with pytest.raises(ValueError):
-        config.Settings(timeout=0)
+    for wrong in ({"timeout": 0}, {"timeout": float("nan")}, {"timeout": float("inf")}, {"max_retries": 6}, {"max_retries": -1}, {"context_chars": -1}, {"max_current_chars": 0}):
+        with pytest.raises(ValueError):
+            config.Settings(**wrong)
     assert "k" not in repr(config.Settings(api_key="k")).replace("max_tokens", "").split("api_base_url")[0]
 
 
 def test_explanations(spark):
-    fence = '```json\n{"plain_explanation": "a", "role_in_paper": "b"}\n```'
-    rows = explain.parsed(spark.createDataFrame([(fence,), ("{}",), ("x",)], "raw string")).collect()
-    assert [r["explanation"] is not None for r in rows] == [True, False, False]
+    """One fence is taken off; other types, missing parts and trailing text are refused."""
+    good = '{"plain_explanation": "a", "role_in_paper": "b", "key_terms": [{"term": "t", "explanation": "e"}]}'
+    two = '{"plain_explanation": "a", "role_in_paper": "b"%s}'
+    fine = [good, f"```json\n{good}\n```", two % "", two % ', "key_terms": []', two % ', "more": 1']
+    bad = ["{}", "x", "", None, "null", "[1]", good + " trailing", f"{good}, {good}", f"{good}] [", f"{good}}} {{", '{"plain_explanation": 5, "role_in_paper": "b"}', '{"plain_explanation": "", "role_in_paper": "b"}', '{"plain_explanation": {"x": 1}, "role_in_paper": "b"}']
+    bad += [two % f', "key_terms": {x}' for x in ("null", "{}", '"x"', "[1]", '[{"term": "t"}]', '[{"term": "t", "explanation": 3}]', json.dumps([{"term": "t", "explanation": "e"}] * 31))]
+    rows = {r["raw"]: r["explanation"] for r in explain.parsed(spark.createDataFrame([(x,) for x in fine + bad], "raw string")).collect()}
+    assert [x for x in fine if rows[x] is None] == [] and [x for x in bad if rows[x] is not None] == []
+    assert rows[good]["key_terms"][0]["explanation"] == "e" and rows[fine[2]]["key_terms"] == []
