@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirework.llm import bpe, decontaminate, line_dedup, minhash, quality
-from quirework.llm.common import materialised, small_side
+from quirework.llm.common import materialised, tidied
 from quirework.llm.queries import VOCABULARY
 
 
@@ -19,8 +19,9 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 def without_rows(rows: DataFrame, numbers: DataFrame) -> DataFrame:
     """rows (numbered) without those whose _row is among numbers, and without the column."""
-    gone = small_side(materialised(numbers.select("_row"), "gone"))
-    return rows.join(gone, "_row", "left_anti").drop("_row")
+    gone = materialised(numbers.select("_row"), "gone")
+    # What goes grows with the corpus: sorted and merged at every size, never broadcast.
+    return rows.join(gone.hint("merge"), "_row", "left_anti").drop("_row")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,8 +67,13 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL: str | None = None
 
 
+@tidied
+def written(stage: Callable[[SparkSession, DataFrame, str], DataFrame], name: str, spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return materialised(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialised(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        docs = written(stage, name, spark, docs, sf_dir)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextvars import ContextVar
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,13 +39,49 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+#: Tables written by the operators that are running, the outermost first.
+_WRITTEN: ContextVar[list[list[str]]] = ContextVar("written", default=[])
+
+
 def materialised(df: DataFrame, label: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again: the lineage ends there, and a lost executor loses nothing."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
+    if _WRITTEN.get():
+        _WRITTEN.get()[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def tidied(operator):
+    """An operator that deletes the tables it has written, but for those that its result is yet to be read from; those are left to the operator around it, and at last to whoever clears the folder."""
+
+    @wraps(operator)
+    def run(*args, **options):
+        own: list[str] = []
+        around = _WRITTEN.get()
+        token = _WRITTEN.set([*around, own])
+        try:
+            out = operator(*args, **options)
+        finally:
+            _WRITTEN.reset(token)
+        results = out if isinstance(out, tuple) else (out,)
+        # Folder names are unique; the rest of a path can be written in several ways.
+        read = {f.rsplit("/", 2)[-2] for df in results for f in df.inputFiles()}
+        kept = [path for path in own if path.rsplit("/", 1)[-1] in read]
+        if around:
+            around[-1].extend(kept)
+        drop_tables(results[0].sparkSession, [path for path in own if path not in kept])
+        return out
+
+    return run
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once for the row, however often the body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, evaluated, grams_of, let, materialised, small_side, upto, words_of
+from .common import ascii_lower, evaluated, grams_of, let, materialised, small_side, tidied, upto, words_of
 
 #: Words are runs of ASCII letters and digits and of anything beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -126,6 +126,7 @@ def covered(spans: Column) -> Column:
     return F.aggregate(spans, F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), step, lambda acc: acc["n"])
 
 
+@tidied
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
     """doc_id, n_words, n_hit (words inside windows of the benchmark), items (sorted ids as strings), contaminated: a row for each doc_id."""
     hits, windows = find_hits(docs, benchmark, window, k)

@@ -31,7 +31,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, evaluated, let, materialised, small_side, upto
+from .common import SPACE, evaluated, let, materialised, small_side, tidied, upto
 
 LEAST, MAX_EDITS = 24, 1
 #: Lines of a bucket above which they are segmented again instead of paired.
@@ -213,6 +213,7 @@ def rows_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(F.col("doc_id").alias("id")).alias("row"), "text")
 
 
+@tidied
 def decisions(docs: DataFrame, max_edits: int = MAX_EDITS, least: int = LEAST, crowd: int = CROWD, exact_least: int | None = None) -> DataFrame:
     """row, exact, near (arrays of line numbers that go, and why) of documents that lose lines. docs: doc_id, text."""
     own = rows_of(docs)
@@ -223,6 +224,7 @@ def decisions(docs: DataFrame, max_edits: int = MAX_EDITS, least: int = LEAST, c
     return materialised(gone.groupBy("row").agg(why(F.col("near").isNull() | (place > F.col("first"))).alias("exact"), why(F.col("near").isNotNull() & ~(place > F.col("first"))).alias("near")), "decisions")
 
 
+@tidied
 def dedup_report(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_lines, n_exact, n_near, removed (line numbers from 0, sorted): a row for each row of docs."""
     lines = docs.select(F.struct(F.col("doc_id").alias("id")).alias("row"), F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"))
@@ -232,6 +234,7 @@ def dedup_report(docs: DataFrame, **options) -> DataFrame:
     return out.select(F.col("row.id").alias("doc_id"), "n_lines", F.size(exact).cast("long").alias("n_exact"), F.size(near).cast("long").alias("n_near"), F.array_sort(F.concat(exact, near)).alias("removed"))
 
 
+@tidied
 def without_repeats(docs: DataFrame, **options) -> DataFrame:
     """The columns of docs, without the lines that go, and without the documents that have no word left because of it."""
     found = decisions(docs.select("doc_id", "text"), **options).select("row", F.concat("exact", "near").alias("_gone"))

@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialised
+from .common import materialised, tidied
 from .graph import components
 from .substring import ROWS, gram_hashes, packed, word_hashes
 
@@ -261,6 +261,7 @@ def links_by_rare_shingles(rest: DataFrame, sets: DataFrame, k: int, percent: in
     return confirmed(pairs, own, k, percent).union(links_by_blocks(many, own, k, percent))
 
 
+@tidied
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id that links reach), kept: a row for each row of docs (doc_id, text)."""
     seen = materialised(signed(docs, k), "signatures")

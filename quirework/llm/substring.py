@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialised
+from .common import materialised, tidied
 
 WINDOW, K = 20, 6
 #: Rows of a batch that are worked on together, and bytes after which results are handed on.
@@ -231,6 +231,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFra
     return merged(gone.union(ends).groupBy("row").agg(F.collect_list("an").alias("zones")), window)
 
 
+@tidied
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, k: int = K, digest: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, spans, and kept (or with digest kept_sha256): a row for each row of docs (doc_id, text)."""
     # The id is wrapped, so that a null one is a key like any other.

@@ -22,7 +22,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, materialised
+from .common import LOWER, UPPER, materialised, tidied
 
 
 #: Second levels that registries of two-letter countries commonly keep, as a pattern of the whole suffix.
@@ -132,6 +132,7 @@ def host_reputation(outcomes: DataFrame, p: Reputation = Reputation()) -> DataFr
     return rated.withColumn("low", lower_bound(F.col("mean"), weight, p.z)).withColumn("blocked", F.col("low") > p.threshold)
 
 
+@tidied
 def filter_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[Rule] = (), p: Reputation = Reputation()) -> DataFrame:
     """page_id, host, path, rule, verdict (allow or block), bad_rate and bad_rate_low of the host, a row for each row of pages.
 
