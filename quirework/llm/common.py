@@ -82,6 +82,16 @@ def tidied(operator):
     return run
 
 
+def row_key() -> Column:
+    """What tells rows of documents apart: the id, null or not, and a hash of the text. Rows alike in both are one document given several times."""
+    return F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with as many underscores in front as it takes to be no column of df."""
+    return name if name.lower() not in map(str.lower, df.columns) else free_name(df, "_" + name)
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once for the row, however often the body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

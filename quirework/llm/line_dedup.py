@@ -18,8 +18,9 @@ DataFrame expressions only. Lines shorter than ``least`` characters are never ne
 ``exact_least`` characters and more (by default ``least``; 1 for every line with a word) still go if an earlier line
 equals them. Blank lines stay. Lines are compared without the white space around them.
 
-Defined results: a null or empty text has one empty line. Order is (doc_id, line), a null doc_id first. Rows that share
-a doc_id are one document given several times: a line is no repeat of itself there. A line of any length is compared
+Defined results: a null or empty text has one empty line. Order is (doc_id, line), a null doc_id first; rows with one id
+and different texts are documents of their own, in the order of a hash. Rows alike in both are one document given
+several times: a line is no repeat of itself there. A line of any length is compared
 whole, in time and memory proportional to it. An empty table gives no rows. The columns of documents that aren't named
 here stay as they are.
 """
@@ -31,7 +32,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, evaluated, let, materialised, small_side, tidied, upto
+from .common import SPACE, evaluated, let, materialised, row_key, tidied, upto
 
 LEAST, MAX_EDITS = 24, 1
 #: Lines of a bucket above which they are segmented again instead of paired.
@@ -196,7 +197,7 @@ def line_classes(docs: DataFrame, max_edits: int = MAX_EDITS, least: int = LEAST
     wanted = distinct.join(materialised(wanted, "wanted"), ["h1", "h2"]).select("h1", "h2", "first")
     at_rows = materialised(wanted.groupBy("first.row").agg(F.collect_list(F.struct("h1", "h2", "first")).alias("lines")), "wanted_rows")
     pick = let(F.split(F.coalesce("text", F.lit("")), "\n"), lambda a: F.transform("lines", lambda w: F.struct(w["h1"].alias("h1"), w["h2"].alias("h2"), w["first"].alias("first"), trimmed(F.get(a, w["first"]["at"])).alias("line"))))
-    texts = docs.join(small_side(at_rows), "row").select(F.explode_outer(pick).alias("l")).select("l.*").filter(F.xxhash64("line") == F.col("h1"))
+    texts = docs.join(at_rows.hint("merge"), "row").select(F.explode_outer(pick).alias("l")).select("l.*").filter(F.xxhash64("line") == F.col("h1"))
     texts = materialised(texts.dropDuplicates(["h1", "h2"]), "texts")
     pairs = pairs.union(crowded_pairs(members.filter("crowded").select("key", "h1", "h2"), texts, e, crowd)).distinct()
 
@@ -208,15 +209,10 @@ def line_classes(docs: DataFrame, max_edits: int = MAX_EDITS, least: int = LEAST
     return materialised(distinct.select("h1", "h2", "first", "times").join(near, ["h1", "h2"], "left").filter("times > 1 or near is not null").drop("times"), "line_classes")
 
 
-def rows_of(docs: DataFrame) -> DataFrame:
-    """The id is wrapped, so that a null one is a key like any other."""
-    return docs.select(F.struct(F.col("doc_id").alias("id")).alias("row"), "text")
-
-
 @tidied
 def decisions(docs: DataFrame, max_edits: int = MAX_EDITS, least: int = LEAST, crowd: int = CROWD, exact_least: int | None = None) -> DataFrame:
     """row, exact, near (arrays of line numbers that go, and why) of documents that lose lines. docs: doc_id, text."""
-    own = rows_of(docs)
+    own = docs.select(row_key().alias("row"), "text")
     classes = line_classes(own, max_edits, least, crowd, exact_least)
     place = F.struct("row", "at")
     gone = lines_of(own, shortest_of(least, exact_least)).select("row", "at", "h1", "h2").join(classes, ["h1", "h2"]).filter(F.col("near").isNotNull() | (place > F.col("first")))
@@ -227,9 +223,10 @@ def decisions(docs: DataFrame, max_edits: int = MAX_EDITS, least: int = LEAST, c
 @tidied
 def dedup_report(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_lines, n_exact, n_near, removed (line numbers from 0, sorted): a row for each row of docs."""
-    lines = docs.select(F.struct(F.col("doc_id").alias("id")).alias("row"), F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"))
+    lines = docs.select(row_key().alias("row"), F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"))
     none = F.array().cast("array<int>")
-    out = lines.join(small_side(decisions(docs.select("doc_id", "text"), **options)), "row", "left")
+    # Decisions grow with the corpus: sorted and merged at every size, never broadcast.
+    out = lines.join(decisions(docs.select("doc_id", "text"), **options).hint("merge"), "row", "left")
     exact, near = F.coalesce("exact", none), F.coalesce("near", none)
     return out.select(F.col("row.id").alias("doc_id"), "n_lines", F.size(exact).cast("long").alias("n_exact"), F.size(near).cast("long").alias("n_near"), F.array_sort(F.concat(exact, near)).alias("removed"))
 
@@ -237,10 +234,10 @@ def dedup_report(docs: DataFrame, **options) -> DataFrame:
 @tidied
 def without_repeats(docs: DataFrame, **options) -> DataFrame:
     """The columns of docs, without the lines that go, and without the documents that have no word left because of it."""
-    found = decisions(docs.select("doc_id", "text"), **options).select("row", F.concat("exact", "near").alias("_gone"))
-    # Decisions grow with the corpus: sorted and merged at every size, never broadcast.
-    out = docs.withColumn("row", F.struct(F.col("doc_id").alias("id"))).join(found.hint("merge"), "row", "left")
-    left = F.array_join(let(F.col("_gone"), lambda gone: F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(gone, i))), "\n")
-    cut = evaluated(out.withColumn("_left", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left)))
-    stay = cut.filter(F.col("_gone").isNull() | F.regexp_like("_left", F.lit(f"[^{SPACE}]")))
-    return stay.select(*[F.col("_left").alias(c) if c == "text" else F.length("_left").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    found = decisions(docs.select("doc_id", "text"), **options).select("row", F.concat("exact", "near").alias("gone"))
+    own = docs.select(row_key().alias("row"), "text", F.struct("*").alias("doc"))
+    out = own.join(found.hint("merge"), "row", "left")
+    left = F.array_join(let(F.col("gone"), lambda gone: F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(gone, i))), "\n")
+    cut = evaluated(out.select("doc", "gone", F.when(F.col("gone").isNull(), F.col("text")).otherwise(left).alias("left")))
+    stay = cut.filter(F.col("gone").isNull() | F.regexp_like("left", F.lit(f"[^{SPACE}]")))
+    return stay.select(*[F.col("left").alias(c) if c == "text" else F.length("left").cast("long").alias(c) if c == "n_chars" else F.col("doc")[c].alias(c) for c in docs.columns])
