@@ -15,9 +15,9 @@ windows are between written tables, whose hot keys Spark splits. Texts are shuff
 spans of their documents: both grow with the corpus, so neither is broadcast at any size.
 
 Defined results: a null or empty text has no words and keeps the empty text. A window is judged on the input, not on
-what is left. Occurrences are ordered by (doc_id, place), a null doc_id first. Rows that share a doc_id are one
-document given several times: they are no copies of each other, and places found in one of them count for all. Texts
-shorter than a window lose nothing; very long ones are worked on whole, one at a time, in memory of some 100 bytes a word. An empty table gives no rows. Further columns are not looked at.
+what is left. Occurrences are ordered by (doc_id, place), a null doc_id first; rows with one id and different texts are
+documents of their own, in the order of a hash. Rows alike in both are one document given several times, and no copies
+of each other. Texts shorter than a window lose nothing; very long ones are worked on whole, one at a time, in memory of some 100 bytes a word. An empty table gives no rows. Further columns are not looked at.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialised, tidied
+from .common import materialised, row_key, tidied
 
 WINDOW, K = 20, 6
 #: Rows of a batch that are worked on together, and bytes after which results are handed on.
@@ -234,8 +234,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFra
 @tidied
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, k: int = K, digest: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, spans, and kept (or with digest kept_sha256): a row for each row of docs (doc_id, text)."""
-    # The id is wrapped, so that a null one is a key like any other.
-    own = docs.select(F.struct(F.col("doc_id").alias("id")).alias("row"), "text")
+    own = docs.select(row_key().alias("row"), "text")
     spans = materialised(repeated_spans(own, window, k), "spans")
     out = without(packed(own).join(spans.hint("merge"), "row", "left"), digest)
     return out.select(F.col("row.id").alias("doc_id"), *[c for c in out.columns if c != "row"])
