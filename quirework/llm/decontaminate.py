@@ -11,8 +11,8 @@ fixed size first, so hardly any but those of the benchmark become rows; each car
 join. Benchmark tables are broadcast only behind a count and a sum of bytes; beyond it the same few rows are shuffled.
 
 Defined results: a null or empty text has no words; an item without words has no window. A text of any length is one
-row's work, in memory of some 50 bytes a word. Rows with one doc_id (null ones too) are one document whose hits are
-joined and whose n_words is the greatest; rows with one item_id are windows of one item. Empty tables give documents
+row's work, in memory of some 50 bytes a word. Rows alike in doc_id (null or not) and text are one document, with one
+row; rows with one id and different texts are documents of their own. Rows with one item_id are windows of one item. Empty tables give documents
 without hits, or no rows. Further columns are not looked at.
 """
 
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, evaluated, grams_of, let, materialised, small_side, tidied, upto, words_of
+from .common import ascii_lower, evaluated, grams_of, let, materialised, row_key, small_side, tidied, upto, words_of
 
 #: Words are runs of ASCII letters and digits and of anything beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -91,7 +91,7 @@ def document_seeds(h: Column, short: list[int], window: int, k: int, wanted) ->
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K, most_bits: int = MOST_BITS) -> tuple[DataFrame, DataFrame]:
-    """(hits, windows). hits: doc_id, n_words and, for each place where a window of the benchmark occurs, start, m (its length) and w (its hash); a document without any has one row with nulls. windows: m, w, item_id.
+    """(hits, windows). hits: doc_id (with a hash of the text), n_words and, for each place where a window of the benchmark occurs, start, m (its length) and w (its hash); a document without any has one row with nulls. windows: m, w, item_id.
 
     docs: doc_id, text. benchmark: item_id, text.
     """
@@ -108,7 +108,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: in
 
     # One row without a seed stands for the document itself, dealt out by its id.
     own = F.array(seed(F.lit(0), F.xxhash64("doc_id"), F.lit(0), F.lit(None).cast("array<bigint>")))
-    hashed = evaluated(docs.select("doc_id", word_hashes(F.col("text")).alias("h")))
+    hashed = evaluated(docs.select(row_key().alias("doc_id"), word_hashes(F.col("text")).alias("h")))
     sown = hashed.select("doc_id", F.size("h").cast("long").alias("n_words"), F.concat(own, document_seeds(F.col("h"), short, window, k, bit_test(seeds, most_bits))).alias("seeds"))
     rows = sown.select("doc_id", "n_words", F.explode_outer("seeds").alias("x")).select("doc_id", "n_words", "x.*")
     met = rows.join(small_side(seeds.withColumn("met", F.lit(True))), ["m", "g"], "left").filter(F.col("met") | (F.col("m") == 0))
@@ -128,11 +128,11 @@ def covered(spans: Column) -> Column:
 
 @tidied
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
-    """doc_id, n_words, n_hit (words inside windows of the benchmark), items (sorted ids as strings), contaminated: a row for each doc_id."""
+    """doc_id, n_words, n_hit (words inside windows of the benchmark), items (sorted ids as strings), contaminated: a row for each doc_id and text."""
     hits, windows = find_hits(docs, benchmark, window, k)
     spans = F.sort_array(F.collect_set(F.when(F.col("w").isNotNull(), F.struct("start", "m"))))
     counted = hits.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), covered(spans).cast("long").alias("n_hit"))
     pairs = hits.filter(F.col("w").isNotNull()).select("doc_id", "m", "w").distinct().join(windows, ["m", "w"]).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     same = counted["doc_id"].eqNullSafe(pairs["doc_id"])
     joined = counted.join(pairs, same, "left").select(counted["doc_id"], "n_words", "n_hit", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
-    return joined.withColumn("contaminated", F.col("n_hit") > 0)
+    return joined.withColumn("doc_id", F.col("doc_id.id")).withColumn("contaminated", F.col("n_hit") > 0)
