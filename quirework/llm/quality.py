@@ -4,8 +4,9 @@ Rules of a line with a word: separators (menus), symbols, shouting, boilerplate
 closing punctuation in short lines. Beside them stand base rules on the whole text: too few words, too many repeated
 five-word windows. All of it is DataFrame expressions on one row; nothing is shuffled.
 
-Defined results: a null or empty text has no words and fails the base rules. Repeated rows are judged row by row. An
-empty table gives an empty result. Further columns don't matter.
+Defined results: a null or empty text has no words and fails the base rules. A text of any length is judged whole, in
+memory of some 100 bytes a word. Repeated rows, and rows that share an id, are judged row by row. An empty table gives
+an empty result. Further columns don't matter.
 """
 
 from __future__ import annotations
@@ -25,6 +26,9 @@ BOILERPLATE = (
 )
 
 
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lost", "cleaned", "base_failed", "kept")
+
+
 class LineRules(NamedTuple):
     """Shares are of a line's characters. most_lost: the share of a text's line characters that may go. short: a line of at most so many characters is tried for boilerplate; tiny: one of at most so many for its closing punctuation."""
 
@@ -67,7 +71,7 @@ def repeat_words(words: Column, k: int = 5) -> Column:
 
 
 def measured(docs: DataFrame, text_col: str = "text", rules: LineRules = LineRules()) -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), lost (share of line characters), cleaned (the text without failed lines), base_failed and kept."""
+    """docs with, in place of columns of those names, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), lost (share of line characters), cleaned (the text without failed lines), base_failed and kept."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     words, lines = words_of(text), F.split(text, "\n")
 
@@ -81,8 +85,9 @@ def measured(docs: DataFrame, text_col: str = "text", rules: LineRules = LineRul
         chars = lambda a: F.length(F.array_join(a, ""))
         return let(good, lambda g: F.struct(dup.cast("long").alias("n_dup_lines"), F.coalesce(1 - chars(g) / F.nullif(chars(x), F.lit(0)), F.lit(0.0)).alias("lost"), F.array_join(g, "\n").alias("cleaned")))
 
-    found = docs.select("*", let(words, by_words).alias("_w"), let(lines, by_lines).alias("_l"), F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"))
-    flat = evaluated(found).select(*docs.columns, "_w.n_words", "_w.word_chars", "n_symbols", "_l.n_dup_lines", "_w.n_repeat_words", "_l.lost", "_l.cleaned")
+    own = F.struct(*[c for c in docs.columns if c not in MEASURES])
+    found = docs.select(own.alias("_doc"), let(words, by_words).alias("_w"), let(lines, by_lines).alias("_l"), F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"))
+    flat = evaluated(found).select("_doc.*", "_w.n_words", "_w.word_chars", "n_symbols", "_l.n_dup_lines", "_w.n_repeat_words", "_l.lost", "_l.cleaned")
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return flat.withColumn("base_failed", base).withColumn("kept", ~base & (F.col("lost") <= rules.most_lost))
 
