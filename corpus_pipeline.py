@@ -8,20 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirework.llm import bpe, decontaminate, line_dedup, minhash, quality
-from quirework.llm.common import materialised, tidied
+from quirework.llm.common import free_name, materialised, tidied
 from quirework.llm.queries import VOCABULARY
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """docs and _row, a number of each row's own: ids can be null or shared. Written, so that the numbers hold."""
-    return materialised(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a number of each row's own, as ids can be null or shared, and the name of that column. Written, so that the numbers hold."""
+    name = free_name(docs, "row")
+    return materialised(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
 
 
-def without_rows(rows: DataFrame, numbers: DataFrame) -> DataFrame:
-    """rows (numbered) without those whose _row is among numbers, and without the column."""
-    gone = materialised(numbers.select("_row"), "gone")
+def without_rows(rows: DataFrame, name: str, gone: DataFrame) -> DataFrame:
+    """rows (numbered) without those whose number is in gone (one column), and without the column."""
+    out = materialised(gone.toDF(name), "gone")
     # What goes grows with the corpus: sorted and merged at every size, never broadcast.
-    return rows.join(gone.hint("merge"), "_row", "left_anti").drop("_row")
+    return rows.join(out.hint("merge"), name, "left_anti").drop(name)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,18 +37,18 @@ def line_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by five-word shingles at a similarity of 0.8, the one with the least id stays, of rows with that id one; a null id is the greatest."""
-    rows = numbered(docs)
-    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
+    rows, name = numbered(docs)
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(name).alias("row"))
     found = minhash.near_duplicates(rows.select(key.alias("doc_id"), "text"), k=5, percent=80)
-    return without_rows(rows, found.filter(~F.col("kept")).select("doc_id._row"))
+    return without_rows(rows, name, found.filter(~F.col("kept")).select("doc_id.row"))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    rows = numbered(docs)
-    found = decontaminate.contamination(rows.select(F.col("_row").alias("doc_id"), "text"), benchmark)
-    return without_rows(rows, found.filter("contaminated").select(F.col("doc_id").alias("_row")))
+    rows, name = numbered(docs)
+    found = decontaminate.contamination(rows.select(F.col(name).alias("doc_id"), "text"), benchmark)
+    return without_rows(rows, name, found.filter("contaminated").select("doc_id"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
