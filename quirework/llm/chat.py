@@ -11,7 +11,8 @@ rows of one conversation meet in one task, rows of different ones don't.
 
 Defined results: a null text is empty; a null role is an empty role, written in the generic form; a null conv_id is one
 conversation of its own. Turns are ordered by (turn, role, text), null turns first, so ties are stable; repeated rows
-are turns of their own. An empty table gives no conversations. Further columns are not looked at.
+are turns of their own. Texts of any length are kept whole; a conversation, formatted, has to fit in a row of Spark's
+(2 GB). An empty table gives no conversations. Further columns are not looked at.
 """
 
 from __future__ import annotations

@@ -351,10 +351,3 @@ def test_url_filter(spark):
     assert got[3] == ("a.example.com", "/en", "com/", "allow")
     assert got[4] == got[5] == ("", "", None, "allow")
     assert got[6] == ("x.net", "/es/", "net/es/", "block") and got[7] == ("bad.org", "/1", None, "block") and got[9][2] == "com/"
-
-
-def test_empty_tables(spark):
-    none = docs_of(spark, []).limit(0)
-    bench = spark.createDataFrame([], "item_id long, text string")
-    for out in (line_dedup.dedup_report(none), minhash.near_duplicates(none), substring.dedup_substrings(none), decontaminate.contamination(none, bench), quality.measured(none), bpe.digests(none, VOCABULARY)):
-        assert out.count() == 0
