@@ -464,12 +464,20 @@ def html_escaped(spark, d):
     return fx.table(spark, d, "pages").select("page_id", F.sha2(html_escape(F.col("html")).cast("binary"), 256).alias("digest"))
 
 
-@query(f"WITH {fx.LINES_SQL} SELECT document_id, count(*) AS blocks, count(*) FILTER (pos % 5 IN (3, 4) AND pos % 3 = 0) AS verified FROM l GROUP BY 1")
+def escaped_sql(x: str) -> str:
+    return f"replace(replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '\'\'', '&#x27;')"
+
+
+ARTICLE_SQL = f"""{fx.TYPED_SQL}, ar AS (SELECT document_id, page, position, pos % 5 IN (3, 4) AND pos % 3 = 0 AS ok, '<article id="' || block_id || '"><header>' || block_id || ' · ' || block_type || ' · ' || section || ' <b class="' || CASE WHEN pos % 5 = 0 THEN 'risk' WHEN pos % 5 IN (1, 2) THEN '' WHEN pos % 3 = 0 THEN 'ok' ELSE 'risk' END || '">' || {STATUS} || '</b></header><div class="source">' || {escaped_sql('text')} || '</div><div class="translation">' || {escaped_sql('text')} || '</div>'
+|| CASE WHEN pos % 3 = 0 THEN '' ELSE '<ul><li>X:  → </li></ul>' END || '<a class="explain" href="?document=' || document_id || '&amp;block=' || block_id || '">Explain</a></article>' AS h FROM t), ap AS (SELECT document_id, page, count(*) AS n, count(*) FILTER (ok) AS good, '<section class="page"><h2>Page ' || page || '</h2>' || string_agg(h, chr(10) ORDER BY position) || '</section>' AS part FROM ar GROUP BY document_id, page)"""
+
+
+@query(f"""WITH {ARTICLE_SQL} SELECT document_id, sum(n)::BIGINT AS blocks, sum(good)::BIGINT AS verified, sha256('<!doctype html><html><head><meta charset="utf-8"><title>t</title></head><body><h1>t</h1><p>f · completed · ' || sum(good)::BIGINT || ' verified</p>' || string_agg(part, chr(10) ORDER BY page) || '</body></html>') AS digest FROM ap GROUP BY 1""")
 def html_export(spark, d):
     """B2: one page for each document, blocks in order."""
     b = fx.typed_blocks(spark, d).withColumns({"translation": F.col("text"), "translation_status": F.expr(STATUS), "confidence": F.lit(0.9), "warnings": F.array().cast("array<string>"), "explanation": F.lit(None).cast("struct<plain_explanation:string,role_in_paper:string>"), "check": verify.as_check(F.when(F.col("pos") % 3 == 0, F.array().cast(verify.NO_ERRORS)).otherwise(F.array(verify.error("X"))))})
     docs = fx.table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.lit("t").alias("title"), F.lit("f").alias("filename"), F.lit("completed").alias("status"), F.array().cast("array<string>").alias("warnings"))
-    return sinks.render_html(b, docs).select("document_id", F.regexp_count("html", F.lit('<article id="b')).cast("long").alias("blocks"), "verified")
+    return sinks.render_html(b, docs).select("document_id", F.regexp_count("html", F.lit('<article id="b')).cast("long").alias("blocks"), "verified", F.sha2(F.col("html").cast("binary"), 256).alias("digest"))
 
 
 @query(f"WITH {fx.TYPED_SQL} SELECT document_id, count(DISTINCT page) AS pages, count(*) AS blocks, sha256(string_agg(block_id, ',' ORDER BY page, position)) AS digest FROM t GROUP BY 1")
@@ -654,6 +662,17 @@ def evaluation_summary(spark, d):
         "translations_reviewed", "translation_pass_rate", "translation_acceptable_rate", "translation_major_error_rate", held("translation_error_tags", "omission"), held("translation_error_tags", "number"), F.sha2(F.array_join("warnings", "\n").cast("binary"), 256).alias("warnings"))
 
 
+MARGIN_TYPES_SQL = f"""{TYPES_SQL}, {MARGINS_SQL.removeprefix(fx.BOXES_SQL + ', ')}, mt AS (SELECT ty.*, coalesce(CASE WHEN mg.pages IS NOT NULL THEN CASE WHEN y1 < 56 THEN 'header' WHEN y0 > 744 THEN 'footer' END END, block_type) AS bt FROM ty LEFT JOIN mg ON mg.document_id = ty.document_id AND mg.signature = regexp_replace(lower(st), '\\d+', '#', 'g')),
+fs AS (SELECT *, coalesce(last_value(CASE WHEN bt = 'section_title' THEN text END IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY page, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS sec FROM mt)"""
+
+
+@query(f"WITH {MARGIN_TYPES_SQL} SELECT document_id, block_id, sha256(sec) AS section_digest, CASE WHEN regexp_matches(sec, '(?i)\\b(references|bibliography)\\b') AND bt NOT IN ('section_title', 'header', 'footer') THEN 'reference' ELSE bt END AS block_type FROM fs")
+def classified_blocks(spark, d):
+    """E1 to E6 in a row: types, margins, sections, references."""
+    rows = classify.classify(fx.boxes(spark, d).withColumn("position", F.col("seq")))
+    return rows.select("document_id", "block_id", F.sha2(F.col("section").cast("binary"), 256).alias("section_digest"), "block_type")
+
+
 # Whole runs
 
 
