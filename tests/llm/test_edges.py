@@ -147,8 +147,10 @@ def test_pipeline_of_any_rows(spark, tmp_path):
     text = "\n".join(" ".join(f"{c}{i}x{j}" for j in range(12)) + "." for i, c in enumerate("abcde"))
     spark.createDataFrame([(1, words("q", 12))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     docs_of(spark, [(1, text), (1, text), (None, None), (2, ""), (None, words("n", 15) + "."), (3, words("q", 15) + ".")]).write.parquet(str(tmp_path / "documents.parquet"))
-    assert sorted_rows(corpus_pipeline.run(spark, str(tmp_path)).select("doc_id"), "doc_id") == sorted([(1,), (None,)], key=repr)
-    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+    left = docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        left = corpus_pipeline.written(stage, name, spark, left, str(tmp_path))
+        assert left.columns == docs.columns
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    last = corpus_pipeline.STAGES[-1][1]
+    assert sorted_rows(last(spark, left, str(tmp_path)), "doc_id") == sorted([(1,), (None,)], key=repr) and last(spark, docs.limit(0), str(tmp_path)).count() == 0
