@@ -155,6 +155,9 @@ def test_from_files_to_pages(spark, tmp_path):
     spans = readers.read_files(spark, str(tmp_path / "in"), reader)
     assert [r["filename"] for r in spans.filter("error is not null").collect()] == ["bad.txt"]
     parsed = run.parse_spans(spans.filter("error is null"))
+    for name, table in parsed._asdict().items():
+        table.write.parquet(str(tmp_path / name))
+    parsed = run.Parsed(*(spark.read.parquet(str(tmp_path / name)) for name in parsed._fields))
     kinds = [r["block_type"] for r in parsed.blocks.orderBy("position").collect()]
     assert kinds == ["title", "section_title", "paragraph", "section_title", "reference"] and parsed.documents.first()["title"] == "A study of waves"
     out = run.translate_blocks(parsed.blocks, parsed.pages, parsed.documents, OPTIONS, provider(), str(tmp_path / "run"))
