@@ -14,6 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a file too small to be split for all cores, dealt to all of them; a larger table stays as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 #: Class c of a sentence: 0 another unit, 1 no citation, 2 another number, 3 empty, 4 unchanged, 5 reordered, 6 one number more, 7 to 9 clean.
 SENTENCE = "concat('Fig. ', n, ' shows ', q, ' MHz at ', d, '% [', k, '].')"
 TRANSLATION = (
@@ -24,7 +30,7 @@ TRANSLATION = (
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS o", "l_partkey AS part", "CAST(l_linenumber AS BIGINT) AS n", "l_suppkey AS k", "CAST(l_quantity AS BIGINT) AS q", "CAST(round(l_discount * 100) AS BIGINT) AS d", "(l_orderkey + l_linenumber) % 10 AS c")
-    return keys.withColumn("source", F.expr(SENTENCE)).withColumn("translation", F.expr(TRANSLATION))
+    return spread(keys).withColumn("source", F.expr(SENTENCE)).withColumn("translation", F.expr(TRANSLATION))
 
 
 SENTENCES_SQL = "s AS (SELECT l_orderkey AS o, l_partkey AS part, CAST(l_linenumber AS BIGINT) AS n, l_suppkey AS k, CAST(l_quantity AS BIGINT) AS q, CAST(round(l_discount * 100) AS BIGINT) AS d, (l_orderkey + l_linenumber) % 10 AS c FROM lineitem)"
