@@ -16,7 +16,7 @@ from ..functions import tokens
 from ..functions.text import content_id, html_escape
 from ..operators import classify, context, evaluate, explain, layout, run, segment, translate, verify
 from ..sources import sinks
-from ..sources.scratch import scratch
+from ..sources.scratch import delete, scratch
 from . import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -696,10 +696,10 @@ def translator(fatal: str, failing: str):
 OPTIONS = run.Options(model="m", identity="fixture:m", most_chars=10_000_000)
 
 
-def first_run(spark, d, cache: str | None) -> run.Translated:
+def first_run(spark, d, cache: str | None, work: str) -> run.Translated:
     """The provider fails in section s2."""
     b, p, docs = run_inputs(spark, d)
-    return run.translate_blocks(b, p, docs, OPTIONS, translator("", "s2"), scratch(spark, "run"), cache)
+    return run.translate_blocks(b, p, docs, OPTIONS, translator("", "s2"), work, cache)
 
 
 def run_inputs(spark, d):
@@ -714,15 +714,18 @@ RUN_COLUMNS = ("document_id", "status", "provider_calls", "cache_hits", "resumed
 @query(f"WITH {fx.TYPED_SQL}, r AS (SELECT document_id, block_type IN ('header', 'equation') AS kept, section = 's2' AS bad FROM t) SELECT document_id, CASE WHEN bool_or(bad AND NOT kept) THEN 'partial' ELSE 'completed' END AS status, count(*) FILTER (NOT kept) AS provider_calls, 0::BIGINT AS cache_hits, 0::BIGINT AS resumed_blocks, count(*) FILTER (kept) AS retained_blocks, count(*) FILTER (bad AND NOT kept) AS failed_blocks FROM r GROUP BY 1")
 def translation_run(spark, d):
     """H6, H11, H13, H16 to H18, G9 end to end: a first run, whose provider fails in one section."""
-    return first_run(spark, d, None).documents.select(*RUN_COLUMNS)
+    return first_run(spark, d, None, scratch(spark, "run")).documents.select(*RUN_COLUMNS)
 
 
 @query(f"WITH {fx.TYPED_SQL}, r AS (SELECT document_id, block_type IN ('header', 'equation') AS kept, section = 's2' AS bad FROM t) SELECT document_id, 'completed' AS status, count(*) FILTER (bad AND NOT kept) AS provider_calls, 0::BIGINT AS cache_hits, count(*) FILTER (NOT bad AND NOT kept) AS resumed_blocks, count(*) FILTER (kept) AS retained_blocks, 0::BIGINT AS failed_blocks FROM r GROUP BY 1")
 def resumed_run(spark, d):
     """H7 to H10 end to end: a second run that takes over what is done and calls for the rest."""
-    before = first_run(spark, d, None)
+    first = scratch(spark, "run")
+    before = first_run(spark, d, None, first)
     b, p, docs = run_inputs(spark, d)
-    return run.translate_blocks(b, p, docs, replace(OPTIONS, retry="failed"), translator("", ""), scratch(spark, "run"), None, before).documents.select(*RUN_COLUMNS)
+    second = run.translate_blocks(b, p, docs, replace(OPTIONS, retry="failed"), translator("", ""), scratch(spark, "run"), None, before)
+    delete(spark, first)
+    return second.documents.select(*RUN_COLUMNS)
 
 
 @query(f"""WITH {fx.TYPED_SQL}, r AS (SELECT document_id, pos, block_type IN ('header', 'equation') AS kept, section = 's2' AS bad FROM t),
@@ -730,10 +733,14 @@ f AS (SELECT *, coalesce(max(CASE WHEN bad AND NOT kept THEN 1 END) OVER (PARTIT
 SELECT document_id, CASE WHEN bool_or((bad OR behind) AND NOT kept) THEN 'partial' ELSE 'completed' END AS status, count(*) FILTER (bad AND NOT behind AND NOT kept) AS provider_calls, count(*) FILTER (NOT bad AND NOT behind AND NOT kept) AS cache_hits, 0::BIGINT AS resumed_blocks, count(*) FILTER (kept) AS retained_blocks, count(*) FILTER ((bad OR behind) AND NOT kept) AS failed_blocks FROM f GROUP BY 1""")
 def cached_run(spark, d):
     """H4, H11, H12, H15 end to end: a second run from the cache of the first, whose provider refuses for good; behind that not even the cache is used."""
-    cache = scratch(spark, "cache")
-    first_run(spark, d, cache)
+    cache, first = scratch(spark, "cache"), scratch(spark, "run")
+    first_run(spark, d, cache, first)
+    # The second run knows of the first by the cache alone.
+    delete(spark, first)
     b, p, docs = run_inputs(spark, d)
-    return run.translate_blocks(b, p, docs, OPTIONS, translator("s2", ""), scratch(spark, "run"), cache).documents.select(*RUN_COLUMNS)
+    second = run.translate_blocks(b, p, docs, OPTIONS, translator("s2", ""), scratch(spark, "run"), cache)
+    delete(spark, cache)
+    return second.documents.select(*RUN_COLUMNS)
 
 
 @query("SELECT p_partkey, p_partkey % 3 = 0 AS found FROM part")

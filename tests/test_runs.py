@@ -98,6 +98,30 @@ def test_resume(spark, translated, tmp_path):
     assert (row["provider_calls"], row["cache_hits"], row["resumed_blocks"]) == (5, 0, 0)
 
 
+def test_what_a_run_leaves(spark, tmp_path, monkeypatch):
+    """Beside the results nothing, no shuffle file either, and texts that repeat each other once; in parts as in one go, and with a cache as with a previous run."""
+    import random
+
+    monkeypatch.setattr(run, "SMALL", -1, raising=False)
+    local = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: sum(name.startswith("shuffle_") for name in local.getAllFiles().mkString("\n").replace("/", "\n").split("\n"))
+    letters, documents = random.Random(0), [f"d{i}" for i in range(20)]
+    rows = [(d, 1, i, f"b{i}", "paragraph", f"s{i % 2}", " ".join("".join(letters.choices("abcdefghijklmnop", k=9)) for _ in range(90)) + " in Fig. 3", []) for d in documents for i in range(6)]
+    blocks, (_, pages, docs) = spark.createDataFrame(rows, BLOCKS), inputs(spark, documents)
+    size = lambda path: sum(f.stat().st_size for f in path.rglob("*.parquet"))
+    cache, before = str(tmp_path / "cache"), shuffled()
+    first = run.translate_blocks(blocks, pages, docs, OPTIONS, provider(), str(tmp_path / "first"), cache)
+    assert size(tmp_path / "first" / "blocks") < 1.5 * sum(len(r[6]) for r in rows)
+    resumed = run.translate_blocks(blocks, pages, docs, replace(OPTIONS, retry="failed"), provider(fatal=True), str(tmp_path / "second"), None, first)
+    cached = run.translate_blocks(blocks, pages, docs, OPTIONS, provider(fatal=True), str(tmp_path / "third"), cache)
+    assert {p.name for run_ in ("first", "second", "third") for p in (tmp_path / run_).iterdir()} == {"blocks", "documents"}
+    assert shuffled() <= before
+    for out, count in ((resumed, "resumed_blocks"), (cached, "cache_hits")):
+        assert {(r["status"], r[count], r["provider_calls"]) for r in out.documents.collect()} == {("completed", 6, 0)}
+        same = [*(c for c in first.blocks.columns if c not in ("origin", "called"))]
+        assert out.blocks.select(same).exceptAll(first.blocks.select(same)).count() == 0 and out.blocks.count() == len(rows)
+
+
 def test_resume_refusals(translated):
     before, _ = translated(provider())
     for options in (replace(OPTIONS, retry="failed", target_language="ja"), replace(OPTIONS, retry="failed", model="other"), OPTIONS, replace(OPTIONS, retry="failed", demo=True), replace(OPTIONS, retry="sometimes")):

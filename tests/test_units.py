@@ -144,3 +144,22 @@ def test_explanations(spark):
     rows = {r["raw"]: r["explanation"] for r in explain.parsed(spark.createDataFrame([(x,) for x in fine + bad], "raw string")).collect()}
     assert [x for x in fine if rows[x] is None] == [] and [x for x in bad if rows[x] is not None] == []
     assert rows[good]["key_terms"][0]["explanation"] == "e" and rows[fine[2]]["key_terms"] == []
+
+
+def test_scan_is_the_grammar():
+    """Looking at first characters, and leaving out texts that RE2 finds nothing in, changes no token."""
+    import random
+    import re
+
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    from quirework.functions import tokens
+
+    plain = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in tokens.GRAMMAR.items()))
+    pieces = [*"abxyzgmsEFT .,-+−_$\\[]()%0123٣９μµ°αΩé–’ÿ₂²\n\t", "Fig", "Figs.", "Table", "Eq.", "IV", "MHz", "kHz", "<AP", "<APab_NUM_1>", "10^", "e5", "AB", "H2", "x_1", "\\(", "\\)", "$$", "[1, 2]", "μm", "×10"]
+    r = random.Random(2)
+    texts = ["".join(r.choices(pieces, k=r.randint(0, 14))) for _ in range(20000)]
+    for text, likely in zip(texts, pc.match_substring_regex(pa.array(texts), tokens.LIKELY).to_pylist(), strict=True):
+        want = [(m.lastgroup, m.span()) for m in plain.finditer(text)]
+        assert [(m.lastgroup, m.span()) for m in tokens.SCAN.finditer(text)] == want and (likely or not want)
